@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PII_KEY = "a key for tests"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftmatch.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftmatch.llm import ngram_lm as lm
 
@@ -25,5 +34,5 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_lm, op4_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op4_simhash)}
 ORACLE: dict[str, str] = {}
