@@ -60,6 +60,15 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def pieces(data: np.ndarray, offs: np.ndarray, size: int = 2 * BLOCK):
+    """(first text, text after the last, bytes, offsets) of runs of whole texts of about ``size`` bytes: bounds the arrays made of a batch."""
+    s, n = 0, len(offs) - 1
+    while s < n:
+        e = max(s + 1, int(np.searchsorted(offs, offs[s] + size, "right")) - 1)
+        yield s, e, data[offs[s] : offs[e]], offs[s : e + 1] - offs[s]
+        s = e
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(30))
     x = x * U(0xBF58476D1CE4E5B9)
@@ -75,6 +84,7 @@ def pair(a, b) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_OTHER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93)) | U(1)
@@ -112,16 +122,21 @@ def blocks(data: np.ndarray, offs: np.ndarray):
         s = e
 
 
-def tokens(data: np.ndarray, offs: np.ndarray, prefixes: tuple[int, ...] = ()):
+def tokens(data: np.ndarray, offs: np.ndarray, prefixes: tuple[int, ...] = (), letters: bool = False):
     """Words ``[^\\x20\\x09-\\x0D]+`` of A-Z-lower-cased texts: (hashes, starts, ends, token offsets by text, prefix hashes).
 
     A word's hash is a polynomial over random byte values, mixed; a prefix hash covers the first k characters' bytes
-    (the whole word where it is shorter).
+    (the whole word where it is shorter). With ``letters`` words are runs of ASCII letters, digits and non-ASCII bytes,
+    and Latin-1 capitals are lower-cased too.
     """
     hs, ss, es, ps = [], [], [], [[] for _ in prefixes]
     for s, e in blocks(data, offs):
         x = data[s:e]
-        w = ~_SPACE[x]
+        w = ~(_OTHER if letters else _SPACE)[x]
+        if letters:
+            up = np.zeros(len(x), bool)
+            up[1:] = (x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] <= 0x9E) & (x[1:] != 0x97)
+            x = x + up.astype(np.uint8) * np.uint8(32)
         a, z = w.copy(), w.copy()
         a[1:] &= ~w[:-1]
         z[:-1] &= ~w[1:]

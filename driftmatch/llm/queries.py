@@ -28,11 +28,19 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model).withColumn("held_out", held).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftmatch.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.expr("int(toxic > 0)"), levels=3)
+    return toxicity.score(docs, model)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftmatch.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op4_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash)}
 ORACLE: dict[str, str] = {}
