@@ -42,5 +42,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftmatch.llm.decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash, op9_decontaminate)}
 ORACLE: dict[str, str] = {}
