@@ -42,11 +42,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from driftmatch.llm.sentencepiece_bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftmatch.llm.decontaminate import overlaps
 
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash, op7_sentencepiece, op9_decontaminate)}
 ORACLE: dict[str, str] = {}
