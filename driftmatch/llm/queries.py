@@ -56,5 +56,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash, op7_sentencepiece, op9_decontaminate)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftmatch.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash, op7_sentencepiece, op9_decontaminate, op10_html_text)}
 ORACLE: dict[str, str] = {}
