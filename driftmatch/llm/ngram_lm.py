@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmatch.llm.common import U, buffers, mix, pack, pair, parallel, shared_dir, tokens, unpack
+from driftmatch.llm.common import U, buffers, mix, pack, pair, parallel, pieces, shared_dir, tokens, unpack
 
 END, BOS, EMPTY = U(0x51AB3F9D7C2E8841), U(0xB7E151628AED2A6B), U(0x243F6A8885A308D3)
-RUN = 1 << 22
+RUN = 1 << 20
 HOT_SAMPLE, HOT_SHARE = 2000, 0.002
 _ROW = (np.uint64, np.uint64, np.uint64, np.int64, np.int64)
 
@@ -119,13 +119,12 @@ def _count_texts(order: int, hot: np.ndarray, shards: int):
     def run(batches):
         held, n = [], 0
         for b in batches:
-            h, at = text_hashes(*buffers(b.column(0)))
-            before = contexts(h, at, order)
-            ctx, suffix = context_hash(before, h), context_hash(before[:-1], h)
-            one = np.ones(len(h), np.int64)
-            for k in range(0, len(h), RUN):
-                held.append(tuple(x[k : k + RUN] for x in (ctx, h, suffix, one, one)))
-                n += len(held[-1][0])
+            for _, _, data, offs in pieces(*buffers(b.column(0))):
+                h, at = text_hashes(data, offs)
+                before = contexts(h, at, order)
+                one = np.ones(len(h), np.int64)
+                held.append((context_hash(before, h), h, context_hash(before[:-1], h), one, one))
+                n += len(h)
                 if n >= RUN:
                     yield _blocks(tuple(map(np.concatenate, zip(*held))), hot, shards)
                     held, n = [], 0
@@ -337,16 +336,10 @@ def _hot_contexts(texts: DataFrame, order: int) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of whole texts."""
-    piece = 1 << 22
 
     def run(batches):
         for b in batches:
-            data, offs = buffers(b.column(1))
-            cut, at = [0], 0
-            while at < len(offs) - 1:
-                at = max(at + 1, int(np.searchsorted(offs, offs[at] + piece, "right")) - 1)
-                cut.append(at)
-            got = [model.score(data[offs[s] : offs[e]], offs[s : e + 1] - offs[s]) for s, e in zip(cut, cut[1:])]
+            got = [model.score(data, offs) for _, _, data, offs in pieces(*buffers(b.column(1)))]
             cols = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0)] * 4
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64())))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
