@@ -44,6 +44,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftmatch.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,5 +76,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash, op7_sentencepiece, op8_licenses, op9_decontaminate, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash, op5_ann, op7_sentencepiece, op8_licenses, op9_decontaminate, op10_html_text)}
 ORACLE: dict[str, str] = {"op8_licenses": scan_sql()}
