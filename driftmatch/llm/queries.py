@@ -50,6 +50,12 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftmatch.llm.repeats import remove
+
+    return remove(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,5 +82,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash, op5_ann, op7_sentencepiece, op8_licenses, op9_decontaminate, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_lm, op3_toxicity, op4_simhash, op5_ann, op6_repeats, op7_sentencepiece, op8_licenses, op9_decontaminate, op10_html_text)}
 ORACLE: dict[str, str] = {"op8_licenses": scan_sql()}
