@@ -94,38 +94,28 @@ def _evidence(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return 2 * g
 
 
-def fit(rows: list[tuple[bytes, int]], levels: int = 1, l2: float = 0.02) -> Ordinal:
-    """From (sorted features, repeats included, as int32 bytes; grade) rows; grades are 0, 1, ... with every one present.
+def choose(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The features, ascending, whose presence in ``pos`` of n1 toxic and ``neg`` of n0 other texts is evidence enough."""
+    evidence = np.where(pos * n0 > neg * n1, _evidence(pos, neg, n1, n0), 0)
+    best = np.argsort(-evidence, kind="stable")[:MAX_FEATURES]
+    return np.sort(best[evidence[best] >= EVIDENCE])
+
+
+def fit(chosen: np.ndarray, row: np.ndarray, col: np.ndarray, count: np.ndarray, y: np.ndarray, levels: int = 1, l2: float = 0.02) -> Ordinal:
+    """From the texts' grades ``y`` (0, 1, ...) and (text, place in ``chosen``, occurrences) entries.
 
-    With ``levels`` above 1 the rows have a mark 0 or 1 only, and those marked are graded 1 to ``levels`` in equal parts
+    With ``levels`` above 1 the texts have a mark 0 or 1 only, and those marked are graded 1 to ``levels`` in equal parts
     by how much of the evidence for the mark they hold.
     """
-    y = np.array([g for _, g in rows], np.int64)
-    k = int(y.max()) if len(y) else 0
     weights = np.zeros(1 << BITS)
-    if k == 0 or y.min() == y.max():
-        return Ordinal(weights, np.full(max(k, 1), 40.0))
-    lens = np.array([len(b) // 4 for b, _ in rows])
-    f, row = np.frombuffer(b"".join(b for b, _ in rows), np.int32), np.repeat(np.arange(len(rows)), lens)
-    key, count = np.unique(row << BITS | f, return_counts=True)
-    f, row, value = key & ((1 << BITS) - 1), key >> BITS, 1 + np.log(count)
-    size = 1 << BITS
-    pos, neg = np.bincount(f, (y[row] > 0).astype(float), size), np.bincount(f, (y[row] == 0).astype(float), size)
-    n1, n0 = (y > 0).sum(), (y == 0).sum()
-    evidence = np.where(pos * n0 > neg * n1, _evidence(pos, neg, n1, n0), 0)
-    chosen = np.sort(np.argsort(-evidence, kind="stable")[:MAX_FEATURES])
-    chosen = chosen[evidence[chosen] >= EVIDENCE]
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
-    col = place[f]
-    row, value, col = row[col >= 0], value[col >= 0], col[col >= 0]
-    m, n = len(chosen), len(rows)
+    if not len(y) or y.min() == y.max():
+        return Ordinal(weights, np.full(1, 40.0))
+    y, value, m, n = np.unique(y, return_inverse=True)[1], 1 + np.log(count), len(chosen), len(y)
     if levels > 1:
         amount = np.bincount(row, value, n)
         cuts = np.unique(np.quantile(amount[y > 0], np.arange(1, levels) / levels))
-        y = np.where(y > 0, 1 + np.searchsorted(cuts, amount, "left"), 0)
-        y = np.unique(y, return_inverse=True)[1]
-        k = int(y.max())
+        y = np.unique(np.where(y > 0, 1 + np.searchsorted(cuts, amount, "left"), 0), return_inverse=True)[1]
+    k = int(y.max())
 
     def loss(v: np.ndarray):
         w, d = v[:m] ** 2, v[m:]
@@ -157,20 +147,49 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, levels: int = 1, ma
     bounded = own.where("grade > 0").orderBy(order, "id").limit(max_rows).union(own.where("grade = 0").orderBy(order, "id").limit(2 * max_rows))
     # At most 3 max_rows ids and grades: a proven bound for the broadcast.
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(bounded), "id")
+    size = 1 << BITS
 
-    def run(batches):
+    def counted(batches):
+        """Texts that hold each feature, by grade above 0 or not; feature -1 counts all texts."""
+        sums = np.zeros((2, size), np.int64)
+        n = np.zeros(2, np.int64)
+        for b in batches:
+            marked = np.asarray(b.column("grade")) > 0
+            n += [(~marked).sum(), marked.sum()]
+            for s, e, data, offs in pieces(*buffers(b.column("text"))):
+                text, f = features(data, offs)
+                key = np.unique(text << BITS | f)
+                on = marked[s:e][key >> BITS]
+                sums[0] += np.bincount(key[~on] & (size - 1), minlength=size)
+                sums[1] += np.bincount(key[on] & (size - 1), minlength=size)
+        f = np.flatnonzero(sums.any(0))
+        yield pa.record_batch([pa.array(np.append(f, -1)), pa.array(np.append(sums[1, f], n[1])), pa.array(np.append(sums[0, f], n[0]))], ["f", "pos", "neg"])
+
+    # One row for each of the 2**BITS features at most.
+    got = texts.mapInArrow(counted, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    f, p, q = (np.asarray(got.column(c).combine_chunks()) for c in ("f", "pos", "neg"))
+    pos, neg = np.zeros(size), np.zeros(size)
+    pos[f[f >= 0]], neg[f[f >= 0]] = p[f >= 0], q[f >= 0]
+    chosen = choose(pos, neg, int(p[f < 0].sum()), int(q[f < 0].sum()))
+
+    def held(batches):
+        """The chosen features of each text."""
+        place = np.full(size, -1)
+        place[chosen] = np.arange(len(chosen))
         for b in batches:
             for s, e, data, offs in pieces(*buffers(b.column("text"))):
                 text, f = features(data, offs)
-                key = np.sort(text << BITS | f)
+                c = place[f]
+                key, count = np.unique(text[c >= 0] << BITS | c[c >= 0], return_counts=True)
                 cut = np.searchsorted(key, np.arange(e - s + 1) << BITS)
-                f = (key & ((1 << BITS) - 1)).astype(np.int32)
-                yield pa.record_batch([b.column("id").slice(s, e - s), pa.array([f[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), b.column("grade").slice(s, e - s)], ["id", "f", "grade"])
+                cells = [pa.array([x[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for x in (key & (size - 1), count)]
+                yield pa.record_batch([b.column("id").slice(s, e - s), b.column("grade").slice(s, e - s), *cells], ["id", "grade", "f", "n"])
 
-    got = texts.mapInArrow(run, "id long, f binary, grade int").toArrow().sort_by("id")
-    grades = got.column("grade").to_pylist()
-    ranks = {g: k for k, g in enumerate(sorted({0, *grades}))}
-    return fit([(f, ranks[g]) for f, g in zip(got.column("f").to_pylist(), grades)], levels)
+    got = texts.mapInArrow(held, "id long, grade int, f binary, n binary").toArrow().sort_by([("id", "ascending"), ("f", "ascending")])  # at most 3 max_rows rows of chosen features
+    cells = got.column("f").to_pylist()
+    row = np.repeat(np.arange(len(cells)), [len(x) // 4 for x in cells])
+    col, count = (np.frombuffer(b"".join(x), np.int32) for x in (cells, got.column("n").to_pylist()))
+    return fit(chosen, row, col, count, np.asarray(got.column("grade").combine_chunks()), levels)
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
@@ -186,3 +205,16 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([b.column(0), pa.array(up[:, 0]), pa.array(up.sum(1)), pa.array(p.argmax(1).astype(np.int32)), pa.array(up[:, 0] >= reject_at)], ["doc_id", "p_toxic", "expected_severity", "grade", "toxic"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, p_toxic double, expected_severity double, grade int, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, model: Ordinal, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
+    """``docs`` without the rows of which P(grade > 0) is ``reject_at`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
+
+    def run(batches):
+        m = Ordinal(*shared.value)
+        for b in batches:
+            s = np.concatenate([m.scores(data, offs) for _, _, data, offs in pieces(*buffers(b.column(text_col)))] or [np.zeros(0)])
+            yield b.filter(pa.array(m.above(s)[:, 0] < reject_at))
+
+    return docs.mapInArrow(run, docs.schema)
