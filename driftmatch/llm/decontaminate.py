@@ -140,3 +140,24 @@ def _runner(shared, min_words: int, min_identity: float):
                 yield pa.record_batch([b.column(0).take(pa.array(d)), pa.array(index.ids[i]), i32(ds), i32(st), i32(n), i32(m), pa.array(m / n), pa.array(n / np.diff(index.at)[i])], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_identity: float = 0.8, block_chars: int = 16_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that have a verified overlap with any benchmark item."""
+    for block in _blocks_of(benchmark, block_chars, item_id_col, item_text_col):
+        docs = docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(block), min_words, min_identity, text_col), docs.schema)
+    return docs
+
+
+def _keeper(shared, min_words: int, min_identity: float, text_col: str):
+    def run(batches):
+        index = Index(*shared.value)
+        for b in batches:
+            keep = np.ones(len(b), bool)
+            for s, _, data, offs in pieces(*buffers(b.column(text_col))):
+                h, _, _, at, _ = tokens(data, offs, letters=True)
+                for d, *_ in index.overlaps(h, at, min_words, min_identity):
+                    keep[s + d] = False
+            yield b.filter(pa.array(keep))
+
+    return run

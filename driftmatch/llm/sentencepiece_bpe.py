@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 from hashlib import sha256
+from itertools import accumulate as _running
 
 import ahocorasick
 import pyarrow as pa
@@ -66,6 +67,7 @@ class Codec:
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[str, int, str]] = {}
+        self.id_cache: dict[str, list[int]] = {}
 
     def merged(self, s: str) -> list[str]:
         """The merges themselves: the best-scored adjacent pair first, the leftmost among equals."""
@@ -234,15 +236,34 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>), with the end id."""
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids array<int>), with the end id, and the columns in ``keep``."""
 
     def run(batches):
         c = codec(path)
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([[*c.encode(t or ""), c.end] for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+            cache: dict[str, list[int]] = c.id_cache
+            rows = []
+            for t in b.column(1).to_pylist():
+                ids: list[int] = []
+                for x in CHUNK.findall(c.marked(t or "")):
+                    got = cache.get(x)
+                    if got is None:
+                        got = c.chunk_ids(x)
+                        if len(x) <= LONG:
+                            if len(cache) >= CACHE:
+                                cache.clear()
+                            cache[x] = got
+                    ids += got
+                ids.append(c.end)
+                rows.append(pa.array(ids, pa.int32()))
+            offsets = pa.array([0, *_running(map(len, rows))], pa.int32())
+            ids = pa.ListArray.from_arrays(offsets, pa.concat_arrays(rows) if rows else pa.array([], pa.int32()))
+            yield pa.record_batch([b.column(0), ids, *(b.column(k) for k in range(2, b.num_columns))], ["doc_id", "ids", *keep])
+
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[2:])
+    return chosen.mapInArrow(run, "doc_id long, ids array<int>" + kept)
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:

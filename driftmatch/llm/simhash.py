@@ -103,3 +103,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = roots.join(ids, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+BANDS, SAMPLED = 10, 4
+_PERMUTE = (np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct hashes of the word shingles; of fewer words, the whole sequence; of none, nothing."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    k = min(shingle, len(words))
+    return np.unique(np.array([digest(join(x), SEED) for x in zip(*(words[i:] for i in range(k)))], np.uint64))
+
+
+def _sampled(h: np.ndarray) -> np.ndarray:
+    """For each band the SimHash of the SAMPLED shingles that its permutation puts first."""
+    x = h[None, :] * _PERMUTE[:, None]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    if len(h) > SAMPLED:
+        x = np.take_along_axis(x, np.argpartition(x, SAMPLED - 1, axis=1)[:, :SAMPLED], 1)
+    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(BANDS, -1, 8), axis=2, bitorder="little")
+    return np.packbits(2 * bits.sum(1) > x.shape[1], axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) by verified likeness: a Jaccard similarity of ``similarity`` or more on word shingles.
+
+    A whole text's fingerprint moves by far more than two bits at such a similarity, so besides links of whole
+    fingerprints, texts are candidates where SimHashes of a few sampled shingles are equal (BANDS samples of SAMPLED
+    shingles: a pair at 0.8 meets in one of them with probability 0.995). Texts of equal words are one node. Each text of
+    a sample's group is compared with the group's least document only, so groups never expand into pairs, and every
+    candidate is verified on its whole shingle sets. Ids are taken to be unique; texts without words are copies of each
+    other.
+    """
+    spark = docs.sparkSession
+
+    def sketch(batches):
+        for b in batches:
+            data, offs = buffers(b.column(1))
+            raw, same, whole, bands = memoryview(data), [], [], []
+            for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
+                text = bytes(raw[s:e])
+                same.append(xxhash.xxh128_hexdigest(b" ".join(text.lower().split())))
+                whole.append(fingerprint(text, shingle))
+                bands.append(_sampled(h).tolist() if len(h := _shingles(text, shingle)) else [])
+            yield pa.record_batch([b.column(0), pa.array(same, pa.string()), pa.array(whole, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "bands"])
+
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
+    sketches = written(spark, base.mapInArrow(sketch, "doc_id long, same string, fp long, bands array<long>"), "sketches")
+    firsts = sketches.groupBy("same").agg(F.min_by(F.struct("fp", "bands"), "doc_id").alias("x"), F.min("doc_id").alias("first")).select("same", "first", "x.*")
+    nodes = written(spark, firsts, "nodes")
+    groups = nodes.select("first", F.posexplode("bands").alias("band", "key"))
+    least = groups.groupBy("band", "key").agg(F.min("first").alias("a"), F.count("*").alias("n")).where("n > 1")
+    by_sample = groups.join(least, ["band", "key"]).select("a", F.col("first").alias("b"))
+    by_fp = nodes.groupBy("fp").agg(F.min("first").alias("a"))
+    equal = nodes.join(by_fp, "fp").select("a", F.col("first").alias("b"))
+    one, two = by_fp.select(F.col("fp").alias("x"), F.col("a").alias("d1")), by_fp.select(F.col("fp").alias("y"), F.col("a").alias("d2"))
+    near = links(by_fp.select("fp"))
+    near = near.join(one, near.a == one.x).join(two, near.b == two.y).select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"))
+    pairs = written(spark, by_sample.union(equal).union(near).where("a <> b").distinct(), "pairs")
+    texts = base.select("doc_id", "text")
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+
+    def verify(batches):
+        for b in batches:
+            last: tuple = (None, None)
+            keep = []
+            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                if x != last[0]:
+                    last = (x, _shingles((x or "").encode(), shingle))
+                other = _shingles((y or "").encode(), shingle)
+                both = len(np.intersect1d(last[1], other, assume_unique=True))
+                if both >= similarity * (len(last[1]) + len(other) - both):
+                    keep.append(i)
+            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    found = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    of = components(spark, found)
+    ids = nodes.join(of, nodes["first"] == of.node, "left").select("same", F.coalesce("root", "first").alias("component_id"))
+    return sketches.join(ids, "same").select("doc_id", "component_id")
+
+
+def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that are copies of one with a smaller id."""
+    extra = copies(docs, shingle, similarity, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy"))
+    return docs.join(extra, F.col(id_col) == F.col("__copy"), "left_anti")
