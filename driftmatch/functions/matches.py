@@ -1,6 +1,7 @@
 """Column functions over arrays of matches: ranking, overlap resolution, segments, splitting, stripping, replacing.
 
 All are Catalyst expressions. Offsets are UTF-8 bytes, the end exclusive. A null array or text gives null.
+An array that a search makes goes into a column of its own first: a Python function can't stand inside a lambda.
 """
 
 from __future__ import annotations
