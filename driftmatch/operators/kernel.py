@@ -22,6 +22,27 @@ class Match(NamedTuple):
     edits: int
 
 
+def _single(text: str) -> bool:
+    """Whether every character is a cluster of its own and folds to one character: so in Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Offsets:
+    """Byte offsets of a text's characters, worked out for the few that are asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def __getitem__(self, i: int) -> int:
+        if i not in self.known:
+            self.known[i] = len(self.text[:i].encode())
+        return self.known[i]
+
+
 class Matcher:
     """A compiled engine under one threshold, with what it learns while it runs."""
 
@@ -42,11 +63,13 @@ class Matcher:
             self.costs[key] = None if like < self.e.floor else self.p[2] * (1 - like)
         return self.costs[key]
 
-    def symbols(self, text: str) -> tuple[str, list[int] | None]:
+    def symbols(self, text: str):
         """The text's symbols, and the byte offset of each and of the end (None: the positions themselves)."""
         e = self.e
         if text.isascii():
             return (text.lower() if e.case_insensitive else text), None
+        if "\r\n" not in text and _single(text):
+            return (text.lower() if e.case_insensitive else text), _Offsets(text)
         offs, out, at = [0], [], 0
         for g in clusters(text):
             out.append(e.symbol(e.fold(g)))
@@ -85,7 +108,7 @@ class Matcher:
         if not self.prefilter or job.pieces is None or self.e.beam_width or self.e.auto_beam:
             return range(n)
         found: set[int] = set()
-        k = job.k
+        k = job.edits
         for off, piece in job.pieces:
             at = t.find(piece)
             while at >= 0:

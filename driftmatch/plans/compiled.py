@@ -6,7 +6,6 @@ first character, with mappings the whole cluster (clusters of several characters
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from dataclasses import dataclass, field, replace
 
@@ -125,37 +124,41 @@ class Compiled:
         return max((len(c.u) + self.own[c.index].most() * widest for c in self.candidates), default=0)
 
 
-def distance_limit(lim: Limits) -> float:
-    """The greatest Levenshtein distance that the limits allow; a swap counts two."""
-    if lim.edits is not None:
-        return lim.edits if lim.swaps == 0 else 2 * lim.edits
-    kinds = [getattr(lim, k) for k in KINDS]
-    return math.inf if None in kinds else kinds[0] + kinds[1] + kinds[2] + 2 * kinds[3]
-
-
 @dataclass(frozen=True)
 class Job:
-    """One candidate under one threshold. ``pieces`` are (offset, piece): a match holds one of them verbatim; None: no such bound."""
+    """One candidate under one threshold.
+
+    ``edits`` is the most edits that limits and threshold allow. ``pieces`` are (offset, piece): every match holds one of
+    them verbatim, at most ``edits`` places from its offset; None where there is no such set. An edit spoils one piece
+    of the candidate, a swap across a border two, so there is a piece more for each edit and each swap. With one edit in
+    all there are two pieces, and the swap across their border is a seed of its own.
+    """
 
     u: str
     index: int
     budget: float
     limits: Limits
-    k: int
+    edits: int
     pieces: tuple[tuple[int, str], ...] | None
 
     @staticmethod
     def of(c: Compiled, x: Candidate, threshold: float) -> "Job":
-        n, w, lim = c.lengths[x.index], c.patterns[x.index].weight, c.own[x.index]
+        n, w, lim, u = c.lengths[x.index], c.patterns[x.index].weight, c.own[x.index], x.u
         budget = n * (1 - threshold / w) + 1e-6
+        if lim.most() == 0 and not c.mappings:
+            return Job(u, x.index, budget, lim, 0, ((0, u),))
+        if not c.reducible or budget < 0:
+            return Job(u, x.index, budget, lim, lim.most(), None)
         p = c.penalties
-        pieces, k = None, 0
-        if c.reducible:
-            dearest = max(1 / p.insertion, 1 / p.deletion, 1 / (p.substitution * (1 - c.similarity.max_off_diagonal())), 2 / p.swap)
-            k = int(min(max(0.0, math.floor(max(budget, 0) * dearest + 1e-9)), distance_limit(lim)))
-            if k <= MOST_USEFUL and len(x.u) > k:
-                cut = [round(i * len(x.u) / (k + 1)) for i in range(k + 2)]
-                pieces = tuple((a, x.u[a:b]) for a, b in zip(cut, cut[1:]))
-        elif lim.most() == 0 and not c.mappings:
-            pieces = ((0, x.u),)
-        return Job(x.u, x.index, budget, lim, k, pieces)
+        costs = {"insertions": p.insertion, "deletions": p.deletion, "substitutions": p.substitution * (1 - c.similarity.max_off_diagonal()), "swaps": p.swap}
+        most = {k: int(min(255 if getattr(lim, k) is None else getattr(lim, k), budget // costs[k])) for k in KINDS}
+        edits = int(min(lim.most(), sum(most.values()), budget // min(costs.values())))
+        swaps = min(edits, most["swaps"])
+        if edits == 1 and swaps and len(u) > 1:
+            h = len(u) // 2
+            return Job(u, x.index, budget, lim, 1, ((0, u[:h]), (h, u[h:]), (0, u[: h - 1] + u[h] + u[h - 1] + u[h + 1 :])))
+        parts = edits + swaps + 1
+        if parts > MOST_USEFUL or len(u) < parts:
+            return Job(u, x.index, budget, lim, edits, None)
+        cut = [round(i * len(u) / parts) for i in range(parts + 1)]
+        return Job(u, x.index, budget, lim, edits, tuple((a, u[a:b]) for a, b in zip(cut, cut[1:])))
