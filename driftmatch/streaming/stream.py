@@ -103,3 +103,15 @@ def search_chunks(engine: Engine, chunks: DataFrame, threshold: float = 0.0) ->
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in FOUND.split(", ")])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(run, FOUND, "base bigint, tail string", "append", "NoTimeout")
+
+
+def search_stream(engine: Engine, windows: DataFrame, on_match: Callable[[Row], None], threshold: float = 0.0) -> int:
+    """Calls ``on_match`` on the driver for every match, a partition at a time, in no fixed order; returns the bytes read."""
+    for row in stream_matches(engine, windows, threshold):
+        on_match(row)
+    return bytes_read(windows).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+
+
+def write_replaced(replaced: DataFrame, path: str) -> None:
+    """Parquet files whose rows, file after file, are in order of (stream_id, seq): each stream's output is its texts joined."""
+    replaced.repartitionByRange("stream_id", "seq").sortWithinPartitions("stream_id", "seq").write.parquet(path)

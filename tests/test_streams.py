@@ -78,3 +78,12 @@ def test_structured_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.start, r.end) for r in spark.table("found").collect()) == whole(text)
+
+
+def test_callbacks_and_files_of_output(spark, tmp_path):
+    w = windows_of_texts(spark.createDataFrame([("s", BIG)], "stream_id string, text string"), E, window=4096)
+    seen = []
+    assert stream.search_stream(E, w, lambda m: seen.append((m.start, m.end)), 0.8) == len(BIG.encode())
+    assert sorted(seen) == whole(BIG)
+    stream.write_replaced(stream.replace_windows(E, w, lambda m: F.lit(None), 0.8), str(tmp_path / "out"))
+    assert "".join(r.text for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()) == BIG
