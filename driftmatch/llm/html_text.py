@@ -162,8 +162,9 @@ def measure(order: list[Node]) -> None:
         if c == 0:
             n.density = 0.0
             continue
-        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-        n.density = c / t * max(math.log(max(c / max(lc, 1) * t / lt, 1.0000001)) / math.log(max(base, 1.0000001)) if base > 1 else math.log(max(c / max(lc, 1) * t / lt, 1.0000001)), 0.0)
+        # The published base of the logarithm falls to 1 for small nodes without links; e**e in place of e keeps it at e or more.
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e**math.e)
+        n.density = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0)) / math.log(base)
     for n in reversed(order):
         kids = [k for k in n.kids if isinstance(k, Node) and not k.drop]
         n.total = sum(k.density for k in kids)
@@ -224,8 +225,9 @@ def blocks(order_root: Node) -> list[str]:
             else:
                 run.append(" ") if inside and run else None
         else:
+            begins = n.wanted and not inside
             inside = inside or n.wanted
-            if n.tag in BLOCK or n.wanted:
+            if n.tag in BLOCK or begins:
                 close()
                 todo.append((n, inside, True))
             todo += [(k, inside, False) for k in reversed(n.kids)]
