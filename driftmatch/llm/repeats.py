@@ -23,6 +23,8 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import time
 from hashlib import sha256
 
 import numpy as np
@@ -32,8 +34,7 @@ from pyspark.sql import functions as F
 
 from driftmatch.llm.common import BYTE, U, buffers, drop_table, mix, pack, parallel, pieces, powers, unpack, written
 
-WIDTH, GRAM, RUN, HOT = 100, 32, 1 << 19, 64
-BIG = 1 << 22
+WIDTH, GRAM, RUN, HOT = 100, 32, 1 << 18, 64
 #: Columns of the packed blocks.
 OWNERS = (np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int32)  # gram, span, left, right, doc, first window, windows - 1
 RANGES = (np.int64, np.int64, np.int64)  # doc, start, end
@@ -62,8 +63,8 @@ def owners(x: np.ndarray, width: int = WIDTH, gram: int = GRAM):
     cut = np.flatnonzero(m[1:] != m[:-1]) + 1
     a, b = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(m) - 1]])
     at = np.empty(len(a), np.int64)
-    for s in range(0, len(a), 1 << 15):  # the least gram's place in a run's first window
-        e = s + (1 << 15)
+    for s in range(0, len(a), 1 << 12):  # the least gram's place in a run's first window
+        e = s + (1 << 12)
         at[s:e] = a[s:e] + (h[a[s:e, None] + np.arange(reach)] == m[a[s:e], None]).argmax(1)
     many = np.flatnonzero(b > at)
     if len(many):  # the least gram comes again within the run: each window belongs to the first that it holds
@@ -136,14 +137,14 @@ def _sharded(kind: str, shard: np.ndarray, shards: int, cols) -> list[tuple[str,
 _COLS = "kind string, shard int, block binary"
 
 
-def _settle(rows: list, texts: dict, shards: int, width: int):
+def _settle(rows: list, texts: dict, shards: int, width: int) -> list[tuple[str, int, bytes]]:
     """A run's owners: its inner repeats as ranges, its hot grams' windows, the rest for the shards."""
     g, s, left, right, doc, a, more = (np.concatenate(c) for c in zip(*rows))
     o, later, new = _later((g, s), doc, a)
     out = []
     d = o[later]
     if len(d):
-        out.append(("range", -1, pack(*merged(doc[d], a[d], a[d] + more[d] + width))))
+        out.append(("range", int(doc[d[0]] % shards), pack(*merged(doc[d], a[d], a[d] + more[d] + width))))
     o = o[new]
     begins = np.concatenate([[True], g[o][1:] != g[o][:-1]]) if len(o) else np.zeros(0, bool)
     group = np.cumsum(begins) - 1
@@ -168,7 +169,7 @@ def _window_rows(parts: list, shards: int, width: int) -> list:
     o, later, new = _later((h1, h2), doc, pos)
     out, d = [], o[later]
     if len(d):
-        out.append(("range", -1, pack(*merged(doc[d], pos[d], pos[d] + width))))
+        out.append(("range", int(doc[d[0]] % shards), pack(*merged(doc[d], pos[d], pos[d] + width))))
     o = o[new]
     return out + _sharded("window", (h1[o] % U(shards)).astype(np.int64), shards, (h1[o], h2[o], doc[o], pos[o]))
 
@@ -197,13 +198,18 @@ def _find_owners(shards: int, width: int, gram: int):
 
 def _match_owners(width: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(x, *OWNERS) for x in table.column("block").to_pylist()]
+        kinds = table.column("kind").to_pylist()
+        blocks = table.column("block")
+        out = [(k, int(n.as_py()), x.as_py()) for k, n, x in zip(kinds, table.column("shard"), blocks) if k != "owner"]
+        parts = [unpack(x.as_py(), *OWNERS) for k, x in zip(kinds, blocks) if k == "owner"]
+        if not parts:
+            return pa.Table.from_batches([_emit(out)])
         g, s, left, right, doc, a, more = map(np.concatenate, zip(*parts))
         mark = more < 0
         marked = np.isin(g, np.unique(g[mark]))
         g, s, left, right, doc, a, more, marked = (x[~mark] for x in (g, s, left, right, doc, a, more, marked))
         o, later, new = _later((g, s), doc, a)
-        out, d = [], o[later]
+        d = o[later]
         if len(d):
             out.append(("range", -1, pack(*merged(doc[d], a[d], a[d] + more[d] + width))))
         o = o[new]
@@ -278,24 +284,26 @@ def _border_windows(shards: int, width: int):
 
 def _release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now; it does so when its driver collects garbage."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def removed_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, s, e): byte ranges that repeat earlier ones; they may overlap."""
     spark, shards = docs.sparkSession, 2 * parallel(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found = written(spark, texts.mapInArrow(_find_owners(shards, width, gram), _COLS), "repeats-owners")
-    clear = written(spark, found.where("kind = 'owner'").groupBy("shard").applyInArrow(_match_owners(width), _COLS), "repeats-spans")
-    rest = written(spark, found.where("kind <> 'owner'"), "repeats-inner")
-    drop_table(spark, found)
+    found = texts.mapInArrow(_find_owners(shards, width, gram), _COLS).groupBy("shard").applyInArrow(_match_owners(width), _COLS)
+    clear = written(spark, found, "repeats-spans")
     _release(spark)
     borders = _by_doc(_flat(clear.where("kind = 'border'")))
     cut = written(spark, texts.join(borders, "doc_id").select("doc_id", "text", "r").mapInArrow(_border_windows(shards, width), _COLS), "repeats-windows")
     _release(spark)
-    own = cut.where("kind = 'window'").union(rest.where("kind = 'window'")).groupBy("shard").applyInArrow(_match_windows(width), _COLS)
+    own = cut.where("kind = 'window'").union(clear.where("kind = 'window'")).groupBy("shard").applyInArrow(_match_windows(width), _COLS)
     pure = lambda df: df.where("kind = 'range'")
-    ranges = written(spark, _flat(pure(clear).union(pure(rest)).union(pure(cut)).union(pure(written(spark, own, "repeats-matched")))), "repeats-ranges")
+    ranges = written(spark, _flat(pure(clear).union(pure(cut)).union(pure(written(spark, own, "repeats-matched")))), "repeats-ranges")
+    for done in (clear, cut):
+        drop_table(spark, done)
     _release(spark)
     return ranges
 
@@ -319,13 +327,11 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str =
                     ok = e > s
                     s, e = s[ok], e[ok]
                     n, gone = len(s), int((e - s).sum())
-                    edge = np.zeros(len(x) + 1, np.int32)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, e, -1)
-                    kept = x[np.cumsum(edge[:-1]) == 0].tobytes()
+                    stay = np.stack([np.concatenate([[0], e]), np.concatenate([s, [len(x)]])], 1).tolist()
+                    kept = b"".join(x[a:z].tobytes() for a, z in stay)
                 else:
                     kept = x.tobytes()
-                rows.append((len(x), gone, n, sha256(kept).hexdigest(), kept))
+                rows.append((len(x), gone, n, sha256(kept).hexdigest(), kept if with_bytes else None))
             cols = list(zip(*rows)) if rows else [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(cols[: len(names) - 1], types))], names)
