@@ -124,12 +124,18 @@ class Engine:
         ascii_only = F.octet_length(t) == F.char_length(t)
         return ~ascii_only | (F.lower(t) if self.compiled.case_insensitive else t).rlike(quoted) if quoted else ~ascii_only
 
-    def search(self, text: Column | str, threshold: float = 0.0, order: str = "unsorted", overlap: str = "keep", prefilter: str = "auto") -> Column:
-        """The array of matches of a text column; null for a null text."""
+    def search(self, text: Column | str, threshold: float = 0.0, order: str = "unsorted", overlap: str = "keep", prefilter: str = "auto", pinned: bool = False) -> Column:
+        """The array of matches of a text column; null for a null text.
+
+        ``prefilter``: "auto"; "inside" leaves the native predicate out (where a filter has applied it already); "off"
+        leaves the seeds out altogether. ``pinned`` keeps Catalyst from copying the function to other places of a plan (a
+        filter on the result would be inferred for the other side of a join, too).
+        """
         o = Options(threshold, order, overlap).ranked()
         t = fm.col(text)
         found = self._udf(o, prefilter)
-        if prefilter == "off" or self.seeds(threshold) is None:
+        found = found.asNondeterministic() if pinned else found
+        if prefilter in ("off", "inside") or self.seeds(threshold) is None:
             return found(t)
         # The function gets nulls for texts that can't match: they cross to Python as nulls, not as text.
         return F.when(t.isNotNull(), F.coalesce(found(F.when(self.may_match(t, threshold), t)), F.array().cast(MATCHES)))
@@ -141,7 +147,9 @@ class Engine:
         found = base.select(*keep, self.search(text, threshold, order, overlap, "off" if prefilter == "off" else "inside").alias("__matches"))
         names = [n for n, _ in _FIELDS]
         clash = {n for n in names if n in keep}
-        return found.select(*keep, F.explode("__matches").alias("__m")).select(*keep, *(F.col(f"__m.{n}").alias(f"match_{n}" if n in clash else n) for n in names))
+        # An inner explode makes Catalyst infer a filter on the array's size and run the function twice; an outer one doesn't.
+        rows = found.select(*keep, F.explode_outer("__matches").alias("__m")).where(F.col("__m").isNotNull())
+        return rows.select(*keep, *(F.col(f"__m.{n}").alias(f"match_{n}" if n in clash else n) for n in names))
 
     # --- what follows from a search -------------------------------------------------------------------------------
 

@@ -21,7 +21,7 @@ def fuzzy_join(docs: DataFrame, patterns: DataFrame, text: str = "text", thresho
         raise ValueError("how is inner, left_semi or left_anti")
     engines = [(Engine(block, **settings), ids) for block, ids in _blocks(patterns, pattern_id, most)]
     if how != "inner":
-        hit = docs.withColumn("__hits", F.array(*(F.coalesce(F.size(e.search(text, threshold)), F.lit(0)) for e, _ in engines)).cast("array<int>"))
+        hit = docs.withColumn("__hits", F.array(*(F.coalesce(F.size(e.search(text, threshold, pinned=True)), F.lit(0)) for e, _ in engines)).cast("array<int>"))
         some = F.exists("__hits", lambda n: n > 0)
         return hit.where(some if how == "left_semi" else ~some).drop("__hits")
     kind, out = dict(patterns.dtypes)[pattern_id], None

@@ -50,7 +50,7 @@ def distinct_first(spark: SparkSession, sf_dir: str, case: Case, value: Callable
 def match_rows(df: DataFrame, case: Case, full: bool = True) -> DataFrame:
     """One row for each match in the array column ``m``."""
     sim = F.round(F.col("x.similarity").cast("double"), 4).alias("sim")
-    base = df.select(case.key, F.explode("m").alias("x"))
+    base = df.select(case.key, F.explode_outer("m").alias("x")).where(F.col("x").isNotNull())  # see Engine.search_df
     cols = [F.col("x.pattern").alias("pattern"), F.col("x.start").alias("m_start"), F.col("x.end").alias("m_end"), sim]
     if full:
         cols += [F.col(f"x.{a}").cast("int").alias(b) for a, b in (("insertions", "ins"), ("deletions", "del"), ("substitutions", "sub"), ("swaps", "swp"), ("edits", "edits"))]
@@ -94,7 +94,7 @@ for _order in ("default", "greedy", "coverage_weighted"):
     def _ranked(spark: SparkSession, sf_dir: str, order: str = _order) -> DataFrame:
         e = engine(MANY, **PLAIN)
         rows = distinct_first(spark, sf_dir, MANY, lambda t: e.search(t, MANY.threshold), "m").withColumn("m", fm.rank("m", order))
-        return rows.select("p_partkey", F.posexplode("m").alias("place", "x")).select("p_partkey", F.col("place").cast("long").alias("place"), "x.pattern", F.col("x.start").alias("m_start"), F.col("x.end").alias("m_end"), F.round(F.col("x.similarity").cast("double"), 4).alias("sim"))
+        return rows.select("p_partkey", F.posexplode_outer("m").alias("place", "x")).where(F.col("x").isNotNull()).select("p_partkey", F.col("place").cast("long").alias("place"), "x.pattern", F.col("x.start").alias("m_start"), F.col("x.end").alias("m_end"), F.round(F.col("x.similarity").cast("double"), 4).alias("sim"))
 
     for _unique in (False, True):
 
@@ -123,7 +123,7 @@ _SEGMENTS = f"WITH RECURSIVE {sql.pieces_sql(WORDS)} "
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(WORDS)
     rows = distinct_first(spark, sf_dir, WORDS, lambda t: e.segments(t, WORDS.threshold), "g")
-    return rows.select("p_partkey", F.posexplode("g").alias("seq", "x")).select("p_partkey", F.col("seq").cast("long").alias("seq"), "x.matched", F.col("x.start").alias("g_start"), F.col("x.end").alias("g_end"), F.col("x.text").alias("g_text"))
+    return rows.select("p_partkey", F.posexplode_outer("g").alias("seq", "x")).where(F.col("x").isNotNull()).select("p_partkey", F.col("seq").cast("long").alias("seq"), "x.matched", F.col("x.start").alias("g_start"), F.col("x.end").alias("g_end"), F.col("x.text").alias("g_text"))
 
 
 @query("segment_text", _SEGMENTS + """, spaced AS (
@@ -313,4 +313,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by the misspelt word that their name holds."""
     e = engine(PARTS)
     rows = distinct_first(spark, sf_dir, PARTS, lambda t: e.search(t, PARTS.threshold, "default", "non_overlapping"), "m")
-    return rows.select(F.explode("m").alias("m")).groupBy("m.pattern").agg(F.count("*").alias("n"))
+    return rows.select(F.explode_outer("m").alias("m")).where(F.col("m").isNotNull()).groupBy("m.pattern").agg(F.count("*").alias("n"))

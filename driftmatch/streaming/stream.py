@@ -3,7 +3,7 @@
 A window is searched sorted and without overlaps; the matches that start before its commit are its own. Matches of
 neighbouring windows may overlap; a replacement skips those that start inside text already written. Windows are at
 least twice as long as any match, so that what is already written at a window's start depends on the window before it
-alone: one equi-join settles it and no stream is serial.
+alone: one grouping by (stream, place) settles it and no stream is serial.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def _own(engine: Engine, windows: DataFrame, threshold: float) -> DataFrame:
 
 def search_windows(engine: Engine, windows: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(stream_id, match fields) with offsets in the stream."""
-    m = _own(engine, windows, threshold).select("stream_id", "base", F.explode("__m").alias("m"))
+    m = _own(engine, windows, threshold).select("stream_id", "base", F.explode_outer("__m").alias("m")).where(F.col("m").isNotNull())  # see Engine.search_df
     return m.select("stream_id", "m.pattern_index", "m.pattern", (F.col("m.start") + F.col("base")).alias("start"), (F.col("m.end") + F.col("base")).alias("end"), "m.similarity", "m.insertions", "m.deletions", "m.substitutions", "m.swaps", "m.edits", "m.text")
 
 
@@ -42,8 +42,12 @@ def stream_matches(engine: Engine, windows: DataFrame, threshold: float = 0.0) -
 def replace_windows(engine: Engine, windows: DataFrame, callback: Callable[[Column], Column], threshold: float = 0.0) -> DataFrame:
     """(stream_id, seq, text): each window's share of the output; in order of seq they make the whole."""
     own = _own(engine, windows, threshold)
-    last = own.select(F.col("stream_id"), (F.col("seq") + 1).alias("seq"), (F.col("base") + F.coalesce(F.try_element_at("__m", F.lit(-1))["end"], F.lit(0).cast("bigint"))).alias("__written"))
-    j = own.join(last, ["stream_id", "seq"], "left").withColumn("__from", F.greatest(F.coalesce(F.col("__written") - F.col("base"), F.lit(0)), F.lit(0)).cast("bigint"))
+    # Each window meets the place that the window before it wrote up to: two rows of one scan, grouped, so the search runs once.
+    written = F.col("base") + F.coalesce(F.try_element_at("__m", F.lit(-1))["end"], F.lit(0).cast("bigint"))
+    w = F.struct("base", "text", "commit", "__m")
+    both = own.withColumn("w", w).withColumn("at", written).select("stream_id", F.explode(F.array(F.struct("seq", "w", F.lit(None).cast("bigint").alias("at")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(None).cast(own.select(w.alias("w")).schema["w"].dataType).alias("w"), "at"))).alias("x"))
+    met = both.groupBy("stream_id", F.col("x.seq").alias("seq")).agg(F.first("x.w", ignorenulls=True).alias("w"), F.max("x.at").alias("__written")).where(F.col("w").isNotNull())
+    j = met.select("stream_id", "seq", "w.*", "__written").withColumn("__from", F.greatest(F.coalesce(F.col("__written") - F.col("base"), F.lit(0)), F.lit(0)).cast("bigint"))
     m = F.filter("__m", lambda x: x["start"] >= F.col("__from"))
     t = F.col("text")
     j = j.withColumn("__m", m)
