@@ -1,7 +1,7 @@
 """Exact SentencePiece merge-type (BPE) encoding by backtracking, and decoding.
 
-The encoder walks a chunk from left to right and takes the longest vocabulary piece (an Aho-Corasick automaton over the
-reversed pieces tells, for each start, all pieces there; the next shorter ones follow on failure). A piece may follow
+The encoder walks a chunk from left to right and takes the longest vocabulary piece (found in an Aho-Corasick automaton
+of the pieces; the next shorter ones follow on failure). A piece may follow
 another only if the two stay apart when the merges are run again over their joined text; otherwise a shorter piece is
 tried, and where none is left the walk steps back. A bit field marks positions from which the walk failed, so each one
 fails once at most. A sequence whose neighbours are all compatible is the one that the merges give.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from hashlib import sha256
 from itertools import accumulate as _running
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE = 200_000
+CACHE = 300_000
 #: Longer chunks are not kept.
 LONG = 64
 
@@ -60,17 +61,29 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a word mark after another character")
         self.end = sp.eos_id()
+        order = sorted(self.scores, key=lambda p: -self.scores[p])
+        #: When a piece is made, in the order of merges; single characters are there before any.
+        self.rank = {p: k for k, p in enumerate(p for p in order if len(p) > 1)}
+        self.halves: dict[str, tuple[str, str]] = {}
+        often = Counter(self.scores[p] for p in self.rank)
+        #: Pieces of one score are merged by place, not in an order of their own.
+        self.tied = {p for p in self.rank if often[self.scores[p]] > 1}
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            if len(p) > 1 and self.merged(p) == [p]:  # a piece that its own merges don't reach is never in an encoding
-                self.automaton.add_word(p[::-1], p)
+        for p in self.rank:
+            if self.merged(p, self.halves) == [p]:  # a piece that its own merges don't reach is never in an encoding
+                self.automaton.add_word(p, p)
         self.automaton.make_automaton()
+        self.words, self.widest = frozenset(self.automaton), max(map(len, self.automaton))
+        for p in order:
+            if p in self.halves and not self.tied.isdisjoint(self.halves[p]):
+                self.tied.add(p)
         self.fits: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[str, int, str]] = {}
-        self.id_cache: dict[str, list[int]] = {}
+        self.cache = Chunks(self.chunk)
+        self.id_cache = Chunks(self.chunk_ids, CACHE // 2)
 
-    def merged(self, s: str) -> list[str]:
-        """The merges themselves: the best-scored adjacent pair first, the leftmost among equals."""
+    def merged(self, s: str, halves: dict | None = None) -> list[str]:
+        """The merges themselves: the best-scored adjacent pair first, the leftmost among equals; ``halves`` gets what the
+        last one joined."""
         part, n = list(s), len(s)
         nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap: list = []
@@ -85,6 +98,8 @@ class Codec:
             _, a, b, x, y = heapq.heappop(heap)
             if not (alive[a] and alive[b]) or part[a] != x or part[b] != y or nxt[a] != b:
                 continue
+            if halves is not None:
+                halves[s] = x, y
             part[a] += part[b]
             alive[b] = False
             nxt[a] = nxt[b]
@@ -99,52 +114,94 @@ class Codec:
         if got is None:
             if len(self.fits) > CACHE:
                 self.fits.clear()
-            got = self.fits[a, b] = self.merged(a + b) == [a, b]
+            got = self.fits[a, b] = self.apart(a, b)
         return got
 
+    def apart(self, a: str, b: str) -> bool:
+        """Whether the merges over ``a + b`` leave the two pieces as they are.
+
+        The two sides' merges are run again from the last one back: at each step the later-made of the two pieces at the
+        border gives way to its half there, and if the pieces at the border make a piece that comes before the merge just
+        undone (or the same one, further left), that merge would have crossed the border. Where pieces of one score are
+        met, all merges are run over the joined text instead.
+        """
+        rank, halves, limit, whole = self.rank, self.halves, len(self.rank) + 1, (a, b)
+        x, y = rank.get(a, -1), rank.get(b, -1)
+        while True:
+            c = rank.get(a + b)
+            if a in self.tied or b in self.tied or c is not None and a + b in self.tied:
+                return self.merged(whole[0] + whole[1]) == [*whole]
+            if c is not None and c < limit:
+                return False
+            if x > y:
+                limit, a = x, halves[a][1]
+                x = rank.get(a, -1)
+            elif y >= 0:
+                limit, b = y + 1, halves[b][0]
+                y = rank.get(b, -1)
+            else:
+                return True
+
     def split(self, s: str) -> list[str]:
         """The pieces of one chunk; characters outside the vocabulary stand alone."""
-        n = len(s)
-        at: list[list[str]] = [[] for _ in range(n)]
-        for end, p in self.automaton.iter(s[::-1]):
-            at[n - 1 - end].append(p)
-        for k, ps in enumerate(at):
-            ps.append(s[k])
-            ps.sort(key=len, reverse=True)
+        n, pos, longest, widest = len(s), 0, self.automaton.longest_prefix, self.widest
+        words, known, fit = self.words, self.fits.get, self.fit
         out: list[str] = []
-        tries, pos, failed = [0], 0, bytearray(n // 8 + 1)
+        prev, failed = "", 0  # a bit for each position
+        size = longest(s[:widest])
         while pos < n:
-            options, k = at[pos], tries[-1]
-            while k < len(options):
-                p = options[k]
-                k += 1
-                e = pos + len(p)
-                if not (e < n and failed[e >> 3] >> (e & 7) & 1) and (not out or self.fit(out[-1], p)):
-                    tries[-1] = k
-                    out.append(p)
-                    tries.append(0)
-                    pos = e
+            while True:
+                if size > 1:
+                    p = s[pos : pos + size]
+                    if p not in words:
+                        size -= 1
+                        continue
+                    e = pos + size
+                else:
+                    p, size, e = s[pos], 1, pos + 1
+                if not (failed and failed >> e & 1):
+                    if not prev:
+                        break
+                    ok = known((prev, p))
+                    if fit(prev, p) if ok is None else ok:
+                        break
+                if size == 1:  # no continuation is left here, whatever comes before: step back
+                    p = None
                     break
+                size -= 1
+            if p is None:
+                failed |= 1 << pos
+                while True:
+                    if not out:
+                        raise AssertionError("no encoding")
+                    size = len(out.pop())
+                    pos -= size
+                    prev = out[-1] if out else ""
+                    if size > 1:
+                        size -= 1
+                        break
+                    failed |= 1 << pos
             else:
-                # Whatever comes before, no continuation was left here for the piece that led here; step back.
-                failed[pos >> 3] |= 1 << (pos & 7)
-                tries.pop()
-                if not tries:
-                    raise AssertionError("no encoding")
-                pos -= len(out.pop())
+                out.append(p)
+                prev, pos = p, e
+                size = longest(s[pos : pos + widest])
         return out
 
-    def chunk(self, s: str) -> tuple[str, int, str]:
-        """(ids in decimal with a space after each, their number, decoded text) of a chunk."""
-        ids = self.chunk_ids(s)
-        return "".join(f"{i} " for i in ids), len(ids), s.replace(MARK, " ")
+    def chunk(self, s: str) -> str:
+        """A chunk's ids in decimal, each with a space after it."""
+        return "".join([f"{i} " for i in self.chunk_ids(s)])
 
     def chunk_ids(self, s: str) -> list[int]:
-        ids: list[int] = []
+        ids = self.ids
+        try:
+            return [ids[p] for p in self.split(s)]
+        except KeyError:
+            pass
+        out: list[int] = []
         for p in self.split(s):
-            i = self.ids.get(p)
-            ids += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
-        return ids
+            i = ids.get(p)
+            out += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids without the end id."""
@@ -176,24 +233,32 @@ class Codec:
         return "".join(out)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids with the end, SHA-256 of the ids, SHA-256 of the decoded text)."""
-        cache, ids, n, size = self.cache, sha256(), 1, 0
-        parts: list[str] = []
-        back: list[str] = []
-        for c in CHUNK.findall(self.marked(text)):
-            got = cache.get(c)
-            if got is None:
-                got = self.chunk(c)
-                if len(c) <= LONG:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[c] = got
-            parts.append(got[0])
-            back.append(got[2])
-            n += got[1]
-        ids.update("".join(parts).encode())
-        ids.update(str(self.end).encode())
-        return n, ids.hexdigest(), sha256("".join(back)[1:].encode()).hexdigest()
+        """(number of ids with the end, SHA-256 of the ids, SHA-256 of the decoded text).
+
+        A chunk's pieces joined are the chunk, and no byte run goes on from one chunk into the next, so the ids decode to
+        the text with spaces for its word marks; ``decode`` gives the same from the ids alone.
+        """
+        ids = "".join(map(self.cache.__getitem__, CHUNK.findall(self.marked(text))))
+        return ids.count(" ") + 1, sha256(f"{ids}{self.end}".encode()).hexdigest(), sha256(text.replace(MARK, " ").encode()).hexdigest()
+
+
+class Chunks(dict):
+    """``make`` of each chunk, remembered in two generations of at most ``most`` chunks; long ones are not kept."""
+
+    def __init__(self, make, most: int = CACHE):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, s: str):
+        got = self.old.get(s)
+        if got is None:
+            got = self.make(s)
+        if len(s) <= LONG:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[s] = got
+        return got
 
 
 def _utf8(raw: bytes) -> str:
@@ -242,18 +307,11 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         c = codec(path)
         for b in batches:
-            cache: dict[str, list[int]] = c.id_cache
+            cache = c.id_cache
             rows = []
             for t in b.column(1).to_pylist():
                 ids: list[int] = []
-                for x in CHUNK.findall(c.marked(t or "")):
-                    got = cache.get(x)
-                    if got is None:
-                        got = c.chunk_ids(x)
-                        if len(x) <= LONG:
-                            if len(cache) >= CACHE:
-                                cache.clear()
-                            cache[x] = got
+                for got in map(cache.__getitem__, CHUNK.findall(c.marked(t or ""))):
                     ids += got
                 ids.append(c.end)
                 rows.append(pa.array(ids, pa.int32()))
