@@ -251,6 +251,22 @@ def _flat(blocks: DataFrame) -> DataFrame:
     return blocks.select("block").mapInArrow(run, "doc_id long, s long, e long")
 
 
+def _small(texts: DataFrame) -> DataFrame:
+    """(doc_id, z): the texts compressed one by one, for joins that shuffle them."""
+
+    def run(batches):
+        for b in batches:
+            data, offs = buffers(b.column(1))
+            z = [pack(data[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            yield pa.record_batch([b.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
+
+    return texts.mapInArrow(run, "doc_id long, z binary")
+
+
+def _bytes(z: pa.Scalar) -> np.ndarray:
+    return unpack(z.as_py(), np.uint8)[0]
+
+
 def _by_doc(ranges: DataFrame) -> DataFrame:
     """A document's ranges in one array: no more of them than it has bytes."""
     return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("r"))
@@ -265,12 +281,12 @@ def _border_windows(shards: int, width: int):
     def run(batches):
         parts, n = [], 0
         for b in batches:
-            data, offs = buffers(b.column(1))
             r = b.column(2)
             for i in range(len(b)):
+                x = _bytes(b.column(1)[i])
                 a, last = _pairs(r, i)
-                keep = last + width <= offs[i + 1] - offs[i]
-                w = windows(data[offs[i] : offs[i + 1]], a[keep], last[keep] - a[keep], width)
+                keep = last + width <= len(x)
+                w = windows(x, a[keep], last[keep] - a[keep], width)
                 parts.append((w[0], w[1], np.full(len(w[0]), b.column(0)[i].as_py()), w[2]))
                 n += len(w[0])
                 if n >= RUN:
@@ -297,7 +313,7 @@ def removed_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
     clear = written(spark, found, "repeats-spans")
     _release(spark)
     borders = _by_doc(_flat(clear.where("kind = 'border'")))
-    cut = written(spark, texts.join(borders, "doc_id").select("doc_id", "text", "r").mapInArrow(_border_windows(shards, width), _COLS), "repeats-windows")
+    cut = written(spark, _small(texts).join(borders, "doc_id").select("doc_id", "z", "r").mapInArrow(_border_windows(shards, width), _COLS), "repeats-windows")
     _release(spark)
     own = cut.where("kind = 'window'").union(clear.where("kind = 'window'")).groupBy("shard").applyInArrow(_match_windows(width), _COLS)
     pure = lambda df: df.where("kind = 'range'")
@@ -315,10 +331,9 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str =
 
     def run(batches):
         for b in batches:
-            data, offs = buffers(b.column(1))
             rows = []
             for i in range(len(b)):
-                x = data[offs[i] : offs[i + 1]]
+                x = _bytes(b.column(1)[i])
                 gone = n = 0
                 if b.column(2)[i].is_valid:
                     s, e = _pairs(b.column(2), i)
@@ -338,7 +353,7 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str =
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return texts.join(ranges, "doc_id", "left").select("doc_id", "text", "r").mapInArrow(run, schema)
+    return _small(texts).join(ranges, "doc_id", "left").select("doc_id", "z", "r").mapInArrow(run, schema)
 
 
 def suffix_array(text) -> list[int]:
