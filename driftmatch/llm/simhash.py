@@ -14,10 +14,12 @@ one row each, an empty table gives an empty result, and other columns are ignore
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmatch.llm.common import buffers, drop_table, written
@@ -130,43 +132,49 @@ def _sampled(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits.sum(1) > x.shape[1], axis=1, bitorder="little").view("<i8")[:, 0]
 
 
-def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) by verified likeness: a Jaccard similarity of ``similarity`` or more on word shingles.
+FREQUENT_OF, FREQUENT, PARITIES = 4096, 1 << 17, 2048
 
-    A whole text's fingerprint moves by far more than two bits at such a similarity, so besides links of whole
-    fingerprints, texts are candidates where SimHashes of a few sampled shingles are equal (BANDS samples of SAMPLED
-    shingles: a pair at 0.8 meets in one of them with probability 0.995). Texts of equal words are one node. Each text of
-    a sample's group is compared with the group's least document only, so groups never expand into pairs, and every
-    candidate is verified on its whole shingle sets. Ids are taken to be unique; texts without words are copies of each
-    other.
-    """
-    spark = docs.sparkSession
 
-    def sketch(batches):
+def _need(x: float) -> int:
+    """The least whole number that is ``x`` or more; a rounding error above a whole number doesn't count."""
+    return math.ceil(x - 1e-9)
+
+
+def _prefix(h: np.ndarray, seen: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles in one order for all texts, rarest first: so many that a text of the likeness, of the same
+    number of shingles or less, must hold one of them."""
+    hashes, counts = seen
+    if len(h) and len(hashes):
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
+    return h[: len(h) - _need(similarity * len(h)) + 1] if len(h) else h
+
+
+def _parities(h: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls into each of PARITIES cells: two texts have as many shingles that only one of them holds as they have cells that differ, or more."""
+    odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _frequent(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles found most often in some texts; bounded. It only sets the order of ``_prefix``."""
+
+    def run(batches):
         for b in batches:
-            data, offs = buffers(b.column(1))
-            raw, same, whole, bands = memoryview(data), [], [], []
+            data, offs = buffers(b.column(0))
+            raw = memoryview(data)
             for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
-                text = bytes(raw[s:e])
-                same.append(xxhash.xxh128_hexdigest(b" ".join(text.lower().split())))
-                whole.append(fingerprint(text, shingle))
-                bands.append(_sampled(h).tolist() if len(h := _shingles(text, shingle)) else [])
-            yield pa.record_batch([b.column(0), pa.array(same, pa.string()), pa.array(whole, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "bands"])
+                yield pa.record_batch([pa.array(_shingles(bytes(raw[s:e]), shingle).view(np.int64))], ["h"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    sketches = written(spark, base.mapInArrow(sketch, "doc_id long, same string, fp long, bands array<long>"), "sketches")
-    firsts = sketches.groupBy("same").agg(F.min_by(F.struct("fp", "bands"), "doc_id").alias("x"), F.min("doc_id").alias("first")).select("same", "first", "x.*")
-    nodes = written(spark, firsts, "nodes")
-    groups = nodes.select("first", F.posexplode("bands").alias("band", "key"))
-    least = groups.groupBy("band", "key").agg(F.min("first").alias("a"), F.count("*").alias("n")).where("n > 1")
-    by_sample = groups.join(least, ["band", "key"]).select("a", F.col("first").alias("b"))
-    by_fp = nodes.groupBy("fp").agg(F.min("first").alias("a"))
-    equal = nodes.join(by_fp, "fp").select("a", F.col("first").alias("b"))
-    one, two = by_fp.select(F.col("fp").alias("x"), F.col("a").alias("d1")), by_fp.select(F.col("fp").alias("y"), F.col("a").alias("d2"))
-    near = links(by_fp.select("fp"))
-    near = near.join(one, near.a == one.x).join(two, near.b == two.y).select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"))
-    pairs = written(spark, by_sample.union(equal).union(near).where("a <> b").distinct(), "pairs")
-    texts = base.select("doc_id", "text")
+    some = base.where("pmod(xxhash64(doc_id), 8) = 0").select("text").limit(FREQUENT_OF)
+    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    o = np.argsort(h)
+    return h[o], n[o]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole shingle sets are alike."""
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def verify(batches):
@@ -182,8 +190,76 @@ def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
                     keep.append(i)
             yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    found = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+
+
+def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) by verified likeness: a Jaccard similarity of ``similarity`` or more on word shingles.
+
+    Components are those of all links of that likeness; none is lost. Texts of equal words are one node. The first round
+    takes the links that are cheap to find: texts whose SimHashes are within two bits, or whose SimHashes of a few
+    sampled shingles are equal (each member of such a group is compared with the one that has most neighbours in its
+    groups). The second round is exact: two alike texts share one of the first shingles of each in a common order, rarest
+    first (prefix filter); all pairs that share one, that sizes, places and parities allow, and that the first round has
+    not put in one component are compared. Every candidate is verified on its whole shingle sets. Ids are taken to be unique;
+    texts without words are copies of each other.
+    """
+    spark = docs.sparkSession
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
+    shared = spark.sparkContext.broadcast(_frequent(base, shingle))
+
+    def sketch(batches):
+        for b in batches:
+            data, offs = buffers(b.column(1))
+            raw, same, whole, bands, sizes, first, odd = memoryview(data), [], [], [], [], [], []
+            for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
+                text = bytes(raw[s:e])
+                same.append(xxhash.xxh128_hexdigest(b" ".join(text.lower().split())))
+                whole.append(fingerprint(text, shingle))
+                h = _shingles(text, shingle)
+                bands.append(_sampled(h).tolist() if len(h) else [])
+                sizes.append(len(h))
+                first.append(_prefix(h, shared.value, similarity).view(np.int64))
+                odd.append(_parities(h))
+            yield pa.record_batch([b.column(0), pa.array(same, pa.string()), pa.array(whole, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "bands", "size", "prefix", "odd"])
+
+    sketches = written(spark, base.mapInArrow(sketch, "doc_id long, same string, fp long, bands array<long>, size int, prefix array<long>, odd array<long>"), "sketches")
+    firsts = sketches.groupBy("same").agg(F.min("doc_id").alias("first")).select(F.col("first").alias("doc_id"), "first")
+    nodes = written(spark, sketches.join(firsts, "doc_id").select("same", "first", "fp", "bands", "size", "prefix", "odd"), "nodes")
+    texts = base.select("doc_id", "text")
+
+    keyed = nodes.select("first", F.posexplode("bands").alias("band", "key")).withColumn("n", F.count("*").over(Window.partitionBy("band", "key"))).where("n > 1")
+    groups = written(spark, keyed, "samples")
+    degrees = groups.groupBy("first").agg(F.sum("n").alias("degree"))
+    hubs = groups.join(degrees, "first").groupBy("band", "key").agg(F.max_by("first", F.struct("degree", -F.col("first"))).alias("hub"))
+    by_sample = groups.join(hubs, ["band", "key"]).select(F.least("hub", "first").alias("a"), F.greatest("hub", "first").alias("b"))
+    by_fp = nodes.groupBy("fp").agg(F.min("first").alias("a"))
+    equal = nodes.join(by_fp, "fp").select("a", F.col("first").alias("b"))
+    one, two = by_fp.select(F.col("fp").alias("x"), F.col("a").alias("d1")), by_fp.select(F.col("fp").alias("y"), F.col("a").alias("d2"))
+    near = links(by_fp.select("fp"))
+    near = near.join(one, near.a == one.x).join(two, near.b == two.y).select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"))
+    pairs = written(spark, by_sample.union(equal).union(near).where("a <> b").distinct(), "pairs")
+    found = written(spark, _verified(pairs, texts, shingle, similarity), "found")
     of = components(spark, found)
+
+    # What alike texts x and y have in common, y having as many shingles as x or more, is 2t/(1+t) of x or more.
+    least = similarity / (1 + similarity)
+    common = Window.partitionBy("key")
+    held = nodes.select("first", "size", F.posexplode("prefix").alias("at", "key")).withColumn("n", F.count("*").over(common)).where("n > 1").drop("n")
+    held = held.join(of, held["first"] == of.node, "left").select("first", "size", "at", "key", F.coalesce("root", "first").alias("root"))
+    held = held.withColumn("lo", F.min("root").over(common)).withColumn("hi", F.max("root").over(common)).where("lo <> hi").drop("lo", "hi")
+    held = written(spark, held, "prefixes")
+    x, y = (held.select("key", *(F.col(c).alias(c + k) for c in ("first", "size", "at", "root"))) for k in "xy")
+    smaller = F.struct("sizex", "firstx") < F.struct("sizey", "firsty")
+    sizes = (F.col("sizex") >= similarity * F.col("sizey") - 1e-6) & (F.col("atx") <= F.col("sizex") * (1 - 2 * least) + 1e-6)
+    most = F.least("atx", "aty") + F.least(F.col("sizex") - F.col("atx"), F.col("sizey") - F.col("aty"))
+    rest = x.join(y, "key").where((F.col("rootx") != F.col("rooty")) & smaller & sizes & (most >= least * (F.col("sizex") + F.col("sizey")) - 1e-6))
+    rest = rest.select(F.least("firstx", "firsty").alias("a"), F.greatest("firstx", "firsty").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    for k in "ab":
+        rest = rest.join(nodes.select(F.col("first").alias(k), F.col("size").alias("size" + k), F.col("odd").alias("odd" + k)), k)
+    differ = F.aggregate(F.zip_with("odda", "oddb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    rest = written(spark, rest.where(differ <= (1 - 2 * least) * (F.col("sizea") + F.col("sizeb")) + 1e-6).select("a", "b"), "rest")
+    of = components(spark, found.union(_verified(rest, texts, shingle, similarity)))
     ids = nodes.join(of, nodes["first"] == of.node, "left").select("same", F.coalesce("root", "first").alias("component_id"))
     return sketches.join(ids, "same").select("doc_id", "component_id")
 

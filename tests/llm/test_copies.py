@@ -109,6 +109,39 @@ def test_verified_copies(spark):
     assert simhash.without_copies(docs(spark, [])).count() == 0
 
 
+def brute_copies(texts, t=0.8):
+    """The least number reachable over links of a likeness of ``t`` or more."""
+
+    def sh(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [sh(x) for x in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and ((not a and not b) or len(a & b) >= t * len(a | b)):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("place", [0, 30, 60])
+def test_copies_of_an_original_anywhere(spark, place):
+    r = random.Random(7)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for _ in range(60):
+        v = list(base)
+        for at in r.sample(range(0, 300, 10), 5):  # 0.83 to 0.86 to the original, less to each other
+            v[at + 4] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(v))
+    texts.insert(place, " ".join(base))
+    want = brute_copies(texts)
+    assert want == [0] * 61
+    got = {x.doc_id: x.component_id for x in simhash.copies(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(61)] == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array(xs):
