@@ -142,6 +142,18 @@ def test_copies_of_an_original_anywhere(spark, place):
     assert [got[i] for i in range(61)] == want
 
 
+def test_copies_of_few_shingles(spark):
+    r = random.Random(8)
+    texts = []
+    for n in (8, 9, 12, 13, 16) * 40:  # one word more, a likeness of 0.8 or more
+        w = [f"w{r.randrange(10**6)}" for _ in range(n + 1)]
+        texts += [" ".join(w[:n]), " ".join(w)]
+    want = brute_copies(texts)
+    assert want == [i - i % 2 for i in range(400)]
+    got = {x.doc_id: x.component_id for x in simhash.copies(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(400)] == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array(xs):
