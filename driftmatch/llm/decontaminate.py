@@ -3,8 +3,9 @@
 Texts are lower-cased word sequences (runs of letters, digits and non-ASCII characters; punctuation is dropped). Fixed
 masks of span 11 to 14 look at seven word positions and ignore the others, so a passage with words substituted is still
 hit where a mask's seven positions survive. Equal hashes of benchmark and document are hits; around each one the two
-texts are laid over each other, and the best-scoring stretch (a match counts 1, a substitution -3) is an overlap if it
-has at least ``min_words`` words (or the whole item, where that is shorter) and at least ``min_identity`` of them agree.
+texts are laid over each other. A stretch of at least ``min_words`` words (or the whole item, where that is shorter) of
+which at least ``min_identity`` agree is an overlap: the best-scoring stretch (a match counts 1, a substitution -3) where
+it qualifies, else the longest that does.
 
 The benchmark goes to the workers only in blocks of bounded size (``block_chars`` characters): a larger benchmark takes
 one pass over the documents for each block. Benchmark items shorter than the shortest mask are compared by all their
@@ -98,10 +99,26 @@ class Index:
             end = int(gain.argmax())
             start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
             n, m = end - start, int(same[start:end].sum())
-            if n >= min(min_words, int(self.at[i + 1] - self.at[i])) and m >= min_identity * n:
+            least = min(min_words, int(self.at[i + 1] - self.at[i]))
+            if n < least or m < min_identity * n:
+                start, n, m = longest(same, least, min_identity)
+            if n:
                 yield d, i, int(lo + shift + start - at[d]), int(lo + start - self.at[i]), n, m
 
 
+def longest(same: np.ndarray, least: int, min_identity: float) -> tuple[int, int, int]:
+    """(start, words, matches) of the longest stretch of ``least`` words or more of which ``min_identity`` agree, the first of equals; zeros if there is none."""
+    m = np.concatenate([[0], np.cumsum(same)])
+    over = m - min_identity * np.arange(len(m))  # a stretch qualifies where this doesn't fall; rounding doesn't count
+    low = np.minimum.accumulate(over)
+    starts = np.searchsorted(-low, -(over + 1e-9), "left")
+    n = np.arange(len(m)) - starts
+    end = int(n.argmax())
+    if n[end] < max(least, 1):
+        return 0, 0, 0
+    return int(starts[end]), int(n[end]), int(m[end] - m[starts[end]])
+
+
 def _blocks_of(benchmark: DataFrame, block_chars: int, id_col: str, text_col: str):
     """The benchmark's (ids, texts) in blocks of about ``block_chars`` characters, read one after another."""
     ids, texts, size = [], [], 0

@@ -221,3 +221,25 @@ def test_decontamination(spark):
         assert kept == set(range(len(texts))) - {d for d, _ in want}
     assert decontaminate.overlaps(docs(spark, []), bench).count() == 0
     assert decontaminate.overlaps(df, bench.where("false")).count() == 0
+
+
+def test_longest_qualifying_stretch():
+    r = random.Random(9)
+    for k in range(3000):
+        same = np.array([r.random() < 0.75 for _ in range(r.randint(1, 40))])
+        least = r.choice([1, 4, 13])
+        want = max((b - a for a in range(len(same)) for b in range(a + least, len(same) + 1) if 5 * same[a:b].sum() >= 4 * (b - a)), default=0)
+        at, n, m = decontaminate.longest(same, least, 0.8)
+        assert n == want and m == same[at : at + n].sum() and 5 * m >= 4 * n
+
+
+def test_substitutions_near_the_ends(spark):
+    word = lambda k: f"w{k}"
+    item = [word(k) for k in range(20)]
+    texts = []
+    for places in ((1,), (0, 1, 18, 19), (1, 2, 17, 18)):
+        texts.append(" ".join("changed" if k in places else w for k, w in enumerate(item)))
+    texts.append(" ".join("changed" if k == 1 else w for k, w in enumerate(item[:13])))
+    got = {x.doc_id: x for x in decontaminate.overlaps(docs(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    assert (got[3].n_words, got[3].n_matched) == (13, 12)
