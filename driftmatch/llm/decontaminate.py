@@ -1,20 +1,23 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds that miss no overlap.
 
-Texts are lower-cased word sequences (runs of letters, digits and non-ASCII characters; punctuation is dropped). Fixed
-masks of span 11 to 14 look at seven word positions and ignore the others, so a passage with words substituted is still
-hit where a mask's seven positions survive. Equal hashes of benchmark and document are hits; around each one the two
-texts are laid over each other. A stretch of at least ``min_words`` words (or the whole item, where that is shorter) of
+Texts are lower-cased word sequences (runs of letters, digits and non-ASCII characters; punctuation is dropped). A
+stretch of n words with at most e substituted holds a run of words that agree, and no way to spread the e words breaks all
+runs of a length k but where n - e is (e + 1)(k - 1); there the one way that does is a mask of its own (``masks``). With 13
+words and 80 % these are runs of four words and 111011101110111. Equal hashes of benchmark and document are hits; for each
+one the two texts are laid over each other. A stretch of at least ``min_words`` words (or the whole item, where that is shorter) of
 which at least ``min_identity`` agree is an overlap: the best-scoring stretch (a match counts 1, a substitution -3) where
 it qualifies, else the longest that does.
 
 The benchmark goes to the workers only in blocks of bounded size (``block_chars`` characters): a larger benchmark takes
-one pass over the documents for each block. Benchmark items shorter than the shortest mask are compared by all their
-words where they have four or more; items with fewer words are never reported. A null text is empty; repeated documents
-or items give a row each; empty tables give no rows.
+one pass over the documents for each block. Items shorter than ``min_words`` have masks for their own length: under five
+words all must agree, and such an item is an overlap wherever it stands. A null text is empty; an item without words is in no
+text; repeated documents or items give a row each; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,6 @@ from pyspark.sql import functions as F
 
 from driftmatch.llm.common import U, buffers, mix, pieces, tokens
 
-MASKS = ("11011010111", "1101100101011", "1110010011011", "10110100110011")
 BITMAP = 22
 SCHEMA = "doc_id long, item_id long, doc_start int, item_start int, n_words int, n_matched int, identity double, coverage double"
 
@@ -44,27 +46,35 @@ def seeds(h: np.ndarray, at: np.ndarray, mask: tuple[int, ...], span: int) -> tu
     return pos, mix(out[pos])
 
 
+def masks(words: int, min_words: int, min_identity: float) -> set[str]:
+    """Masks that hit each stretch of an item of ``words`` words that qualifies, wherever the substitutions are. Of a stretch
+    of twice the least length one part qualifies, so shorter ones stand for all."""
+    least = max(min(min_words, words), 1)
+    lengths = [(n, n - math.ceil(min_identity * n - 1e-9)) for n in range(least, min(words, 2 * least - 1) + 1)]
+    k = min(least, *(1 + (n - e) // (e + 1) for n, e in lengths))
+    return {"1" * k} | {"0".join(["1" * (k - 1)] * (e + 1)) for n, e in lengths if k > 1 and n - e == (e + 1) * (k - 1)}
+
+
 class Index:
     """A block of benchmark items: their words, and a sorted table of seeds for each mask."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], min_words: int, min_identity: float):
         data, offs = buffers(pa.array(texts, pa.string()))
         self.ids = np.array(ids, np.int64)
         self.h, _, _, self.at, _ = tokens(data, offs, letters=True)
         self.item = np.repeat(np.arange(len(ids)), np.diff(self.at))
         self.masks = []
-        for m in MASKS:
-            self._add([j for j, c in enumerate(m) if c == "1"], len(m), None)
-        lens = np.diff(self.at)
-        shortest = min(map(len, MASKS))
-        for n in sorted({int(x) for x in lens if 4 <= x < shortest}):
-            self._add(list(range(n)), n, np.flatnonzero(lens == n))
-
-    def _add(self, mask: list[int], span: int, only: np.ndarray | None) -> None:
+        lens, of = np.diff(self.at), {}
+        for n in np.unique(lens[lens > 0]).tolist():
+            for m in masks(n, min_words, min_identity):
+                of.setdefault(m, []).append(n)
+        for m, ns in sorted(of.items()):
+            self._add([j for j, c in enumerate(m) if c == "1"], len(m), np.flatnonzero(np.isin(lens, ns)))
+
+    def _add(self, mask: list[int], span: int, only: np.ndarray) -> None:
         pos, key = seeds(self.h, self.at, tuple(mask), span)
-        if only is not None:
-            keep = np.isin(self.item[pos], only)
-            pos, key = pos[keep], key[keep]
+        keep = np.isin(self.item[pos], only)
+        pos, key = pos[keep], key[keep]
         o = np.argsort(key, kind="stable")
         bits = np.zeros(1 << BITMAP, bool)
         bits[(key >> U(64 - BITMAP)).astype(np.int64)] = True
@@ -93,13 +103,15 @@ class Index:
         for d, i, shift in zip(*(x.tolist() for x in self.hits(h, at))):
             lo, hi = max(self.at[i], at[d] - shift), min(self.at[i + 1], at[d + 1] - shift)
             same = self.h[lo:hi] == h[lo + shift : hi + shift]
+            least = min(min_words, int(self.at[i + 1] - self.at[i]))
+            if np.count_nonzero(same) < min_identity * least - 1e-9:
+                continue
             total = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
             low = np.minimum.accumulate(total)
             gain = total - low
             end = int(gain.argmax())
             start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
             n, m = end - start, int(same[start:end].sum())
-            least = min(min_words, int(self.at[i + 1] - self.at[i]))
             if n < least or m < min_identity * n:
                 start, n, m = longest(same, least, min_identity)
             if n:
@@ -145,7 +157,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_ide
 
 def _runner(shared, min_words: int, min_identity: float):
     def run(batches):
-        index = Index(*shared.value)
+        index = Index(*shared.value, min_words, min_identity)
         for b in batches:
             rows = []
             for s, _, data, offs in pieces(*buffers(b.column(1))):
@@ -168,7 +180,7 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13,
 
 def _keeper(shared, min_words: int, min_identity: float, text_col: str):
     def run(batches):
-        index = Index(*shared.value)
+        index = Index(*shared.value, min_words, min_identity)
         for b in batches:
             keep = np.ones(len(b), bool)
             for s, _, data, offs in pieces(*buffers(b.column(text_col))):

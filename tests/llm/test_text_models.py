@@ -1,6 +1,7 @@
 """The language model, toxicity and decontamination."""
 
 import collections
+import itertools
 import math
 import random
 import zlib
@@ -243,3 +244,30 @@ def test_substitutions_near_the_ends(spark):
     got = {x.doc_id: x for x in decontaminate.overlaps(docs(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")).collect()}
     assert set(got) == {0, 1, 2, 3}
     assert (got[3].n_words, got[3].n_matched) == (13, 12)
+
+
+def test_masks_hit_all_substitutions():
+    for words, lengths in [(w, [w]) for w in range(1, 13)] + [(13, [13]), (14, [13, 14]), (40, [*range(13, 21)])]:
+        spans = [[j for j, c in enumerate(m) if c == "1"] for m in decontaminate.masks(words, 13, 0.8)]
+        spans = [(x, max(x) + 1) for x in spans]
+        for n in lengths:
+            for places in itertools.combinations(range(n), n - math.ceil(0.8 * n)):
+                ok = [k not in places for k in range(n)]
+                assert any(all(ok[a + j] for j in x) for x, span in spans for a in range(n - span + 1)), (words, n, places)
+
+
+def test_all_substitutions_of_short_overlaps(spark):
+    items = [[f"i{n}w{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 9, 10, 11, 12, 13, 15)]
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        for e in (len(item) // 5, len(item) // 5 + 1):
+            for places in itertools.combinations(range(len(item)), e):
+                if e == len(item) // 5:
+                    want.add((len(texts), i))
+                texts.append("before " + " ".join("changed" if k in places else w for k, w in enumerate(item)) + " after")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id int, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs(spark, texts), bench).collect()}
+    # One substitution more leaves 15 words with a part of 13 or 14 that qualifies where it is near an end.
+    few = {(d, i) for d, i in got - want if len(items[i]) > 13}
+    assert got - few == want
+    assert all(max(sum(w != "changed" for w in texts[d].split()[1 + a : 1 + b]) / (b - a) for a in range(3) for b in range(a + 13, 16)) >= 0.8 for d, i in few)
