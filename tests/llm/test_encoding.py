@@ -199,3 +199,24 @@ def test_pipeline(spark):
     for name, stage in empty:
         frame = stage(spark, frame, sf)
     assert frame.count() == 0 and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+
+
+def test_licence_notices_and_whole_texts(spark):
+    from pathlib import Path
+
+    lines = {
+        "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Licensed under the terms of the GNU GPL v2 or later": "GPL-2.0",
+        "This software is released under the Apache License 2.0": "Apache-2.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "Released under a license of our own.": "",
+    }
+    df = spark.createDataFrame(list(enumerate("words before\n" + x for x in lines)), "doc_id int, text string")
+    got = {x.doc_id: x.line_licenses for x in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(licenses.FULL)
+    there = [(k, p.read_text()) for k, n in (("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0")) if (p := Path("/usr/share/common-licenses", n)).exists()]
+    if there:
+        df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(there)], "doc_id int, text string")
+        assert {x.doc_id: x.license for x in licenses.scan(df).collect()} == {i: k for i, (k, _) in enumerate(there)}
