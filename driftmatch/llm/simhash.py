@@ -147,7 +147,7 @@ def _prefix(h: np.ndarray, seen: tuple[np.ndarray, np.ndarray], similarity: floa
     if len(h) and len(hashes):
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
-    return h[: len(h) - _need(similarity * len(h)) + 1] if len(h) else h
+    return h[: len(h) - _need(similarity * len(h)) + 1].copy() if len(h) else h
 
 
 def _parities(h: np.ndarray) -> np.ndarray:
@@ -163,8 +163,9 @@ def _frequent(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             data, offs = buffers(b.column(0))
             raw = memoryview(data)
-            for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
-                yield pa.record_batch([pa.array(_shingles(bytes(raw[s:e]), shingle).view(np.int64))], ["h"])
+            for at in range(0, len(b), 256):
+                part = [_shingles(bytes(raw[s:e]), shingle) for s, e in zip(offs[at:-1][:256].tolist(), offs[at + 1 :][:256].tolist())]
+                yield pa.record_batch([pa.array(np.concatenate(part).view(np.int64))], ["h"])
 
     some = base.where("pmod(xxhash64(doc_id), 8) = 0").select("text").limit(FREQUENT_OF)
     found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
@@ -181,7 +182,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
         for b in batches:
             last: tuple = (None, None)
             keep = []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+            for i in range(len(b)):  # one text at a time in Python's memory
+                x, y = b.column(2)[i].as_py(), b.column(3)[i].as_py()
                 if x != last[0]:
                     last = (x, _shingles((x or "").encode(), shingle))
                 other = _shingles((y or "").encode(), shingle)
