@@ -11,16 +11,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 BLOCK = 1 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under ``spark.checkpoint.dir``; that setting is made here only where it is unset."""
+    """A new folder's URI under ``spark.checkpoint.dir``; only a session on one machine may leave that setting out."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="driftmatch-")
         spark.conf.set("spark.checkpoint.dir", base)
         weakref.finalize(sc, shutil.rmtree, base[7:], True)
@@ -48,6 +51,19 @@ def parallel(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_bytes(texts: DataFrame, text_col: str = "text") -> int:
+    """The UTF-8 bytes of a text column: one native pass."""
+    return texts.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and where each text begins and ends; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

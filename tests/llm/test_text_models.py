@@ -169,27 +169,67 @@ def test_ordinal_fit_orders_grades():
     assert (np.diff(m.above(s).sum(1)) > 0).all() and np.round(m.above(s).sum(1)).tolist() == [0, 1, 2, 3]
 
 
-def brute_overlaps(doc, item, min_words, min_identity, words):
-    """The best stretch of each shift by all starts and ends."""
-    d, i = words(doc), words(item)
-    found = []
-    for shift in range(-len(i) + 1, len(d)):
-        same = [d[shift + k] == i[k] if 0 <= shift + k < len(d) else None for k in range(len(i))]
-        best = None
-        for a in range(len(i)):
-            score = 0
-            for b in range(a, len(i)):
-                if same[b] is None:
-                    break
-                score += 1 if same[b] else -3
-                n, m = b - a + 1, sum(same[a : b + 1])
-                if best is None or score > best[0]:
-                    best = (score, n, m)
-        if best and best[1] >= min(min_words, len(i)) and best[2] >= min_identity * best[1]:
-            found.append(best[1:])
+def brute_shifts(doc, item, min_words=13):
+    """The shifts at which some stretch of min_words words (or the whole item) or more agrees in 80 %: all starts and ends."""
+    least, found = min(min_words, len(item)), set()
+    for shift in range(-len(item) + 1, len(doc)):
+        lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+        same = [item[k] == doc[k + shift] for k in range(lo, hi)]
+        m = [0, *itertools.accumulate(same)]
+        if any(5 * (m[y] - m[x]) >= 4 * (y - x) for x in range(len(same)) for y in range(x + least, len(same) + 1)):
+            found.add(shift)
     return found
 
 
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(15)
+    items = [[f"i{k}w{j}" if r.random() < 0.9 else r.choice(WORDS) for j in range(r.choice([2, 5, 8, 12, 13, 14, 16, 20, 30, 45]))] for k in range(24)]
+    texts = []
+    for _ in range(300):
+        body = [r.choice(WORDS) for _ in range(r.randint(0, 20))]
+        for _ in range(r.randint(0, 2)):
+            item = r.choice(items)
+            a = r.randint(0, max(0, len(item) - 14))
+            part = [w if r.random() > r.choice([0, 0.1, 0.2, 0.25]) else "changed" for w in item[a:]]
+            body[len(body) // 2 : len(body) // 2] = part
+        texts.append(body)
+    want = {(d, i, s) for d, t in enumerate(texts) for i, x in enumerate(items) for s in brute_shifts(t, x)}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id int, text string")
+    df = docs(spark, [" ".join(t) for t in texts])
+    got = decontaminate.overlaps(df, bench).collect()
+    assert {(x.doc_id, x.item_id, x.doc_start - x.item_start) for x in got} == want and len(want) > 150
+    spans = {}
+    for x in got:
+        d, i = texts[x.doc_id][x.doc_start :][: x.n_words], items[x.item_id][x.item_start :][: x.n_words]
+        assert len(d) == len(i) == x.n_words >= min(13, len(items[x.item_id])) and sum(map(str.__eq__, d, i)) == x.n_matched >= 0.8 * x.n_words
+        assert x.identity == x.n_matched / x.n_words and x.coverage == x.n_words / len(items[x.item_id])
+        spans.setdefault((x.doc_id, x.item_id, x.doc_start - x.item_start), []).append((x.item_start, x.item_start + x.n_words))
+    for at in map(sorted, spans.values()):
+        assert all(e <= s for (_, e), (s, _) in zip(at, at[1:]))
+    kept = {x.doc_id for x in decontaminate.without_overlaps(df, bench).collect()}
+    assert kept == set(range(300)) - {d for d, _, _ in want}
+
+
+def test_decontamination_edges(spark):
+    r = random.Random(16)
+    word = lambda: f"w{r.randrange(10**6)}"
+    one, two, far = ([word() for _ in range(30)] for _ in range(3))
+    item = " ".join(one + [word() for _ in range(100)] + two)
+    long = " ".join(word() for _ in range(200_000)) + " " + " ".join(far)
+    texts = [(1, " ".join(one + [word() for _ in range(100)] + two), "a"), (2, long, "b"), (2, "nothing here", "c"), (None, " ".join(far), None), (4, None, "e"), (5, "", "f"), (6, " ".join(far), "g"), (6, " ".join(far), "g")]
+    df = spark.createDataFrame(texts, "doc_id int, text string, found_digest string")
+    bench = spark.createDataFrame([(7, item, 1), (None, " ".join(far), 2), (-1, " ".join(far).upper(), 3), (9, None, 4), (10, "?!", 5), (None, "all of this is null", 6)] + [(100 + k, item, 7) for k in range(2000)], "item_id int, text string, doc_id int")
+    got = sorted((x.doc_id or 0, x.item_id, x.n_items, x.item_start, x.n_words) for x in decontaminate.overlaps(df, bench).collect())
+    assert got == [(0, -1, 2, 0, 30), (1, 7, 2001, 0, 30), (1, 7, 2001, 130, 30), (2, -1, 2, 0, 30), (6, -1, 2, 0, 30), (6, -1, 2, 0, 30)]
+    kept = decontaminate.without_overlaps(df, bench)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [(2, "nothing here", "c"), (4, None, "e"), (5, "", "f")]
+    null = decontaminate.overlaps(spark.createDataFrame([(1, "now all of this is null, too")], "doc_id int, text string"), bench).collect()
+    assert [(x.item_id, x.n_items) for x in null] == [(None, 1)]
+    assert decontaminate.overlaps(docs(spark, []), bench).count() == 0
+    assert decontaminate.overlaps(df, bench.where("false")).count() == 0
+    assert decontaminate.without_overlaps(df, bench.where("false")).count() == 8
+
+
 def test_decontamination(spark):
     r = random.Random(5)
     word = lambda: r.choice(WORDS) + r.choice(WORDS)
@@ -211,17 +251,9 @@ def test_decontamination(spark):
     want.append((62, 12))
     df = docs(spark, texts)
     bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id int, text string, doc_id string")
-    for block in (200, 16_000_000):
-        got = decontaminate.overlaps(df, bench, block_chars=block).collect()
-        assert {(x.doc_id, x.item_id) for x in got} == set(want)
-        words = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
-        for x in got[:12]:
-            best = brute_overlaps(texts[x.doc_id], items[x.item_id], 13, 0.8, words)
-            assert 4 * x.n_matched - 3 * x.n_words in {4 * m - 3 * n for n, m in best}  # stretches may tie
-        kept = {x.doc_id for x in decontaminate.without_overlaps(df, bench, block_chars=block).collect()}
-        assert kept == set(range(len(texts))) - {d for d, _ in want}
-    assert decontaminate.overlaps(docs(spark, []), bench).count() == 0
-    assert decontaminate.overlaps(df, bench.where("false")).count() == 0
+    assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(df, bench).collect()} == set(want)
+    kept = {x.doc_id for x in decontaminate.without_overlaps(df, bench).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in want}
 
 
 def test_longest_qualifying_stretch():
@@ -247,13 +279,13 @@ def test_substitutions_near_the_ends(spark):
 
 
 def test_masks_hit_all_substitutions():
-    for words, lengths in [(w, [w]) for w in range(1, 13)] + [(13, [13]), (14, [13, 14]), (40, [*range(13, 21)])]:
-        spans = [[j for j, c in enumerate(m) if c == "1"] for m in decontaminate.masks(words, 13, 0.8)]
-        spans = [(x, max(x) + 1) for x in spans]
+    # From 26 words on a stretch has a shorter part that qualifies.
+    for words, lengths in [(w, [w]) for w in range(1, 13)] + [(13, [13]), (14, [13, 14]), (40, [*range(13, 26)])]:
+        spans = [sum(1 << j for j, c in enumerate(m) if c == "1") for m in decontaminate.masks(words, 13, 0.8)]
         for n in lengths:
             for places in itertools.combinations(range(n), n - math.ceil(0.8 * n)):
-                ok = [k not in places for k in range(n)]
-                assert any(all(ok[a + j] for j in x) for x, span in spans for a in range(n - span + 1)), (words, n, places)
+                ok = (1 << n) - 1 - sum(1 << k for k in places)
+                assert any(ok >> a & x == x for x in spans for a in range(n - x.bit_length() + 1)), (words, n, places)
 
 
 def test_all_substitutions_of_short_overlaps(spark):
