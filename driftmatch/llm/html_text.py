@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density.
 
 A forgiving parser builds the DOM (implied ends, void elements, raw text of scripts and styles, truncated pages). Parts
-that are never article text go first: elements by their kind, and elements whose class, id or role says menu, sidebar,
-notice, advert, comments and the like. Then every node gets its link-adjusted characters per tag, every node the sum of
-its children's densities, and the threshold is the least density on the path from the body to the node of the greatest
-sum; below each node at or above the threshold the node of the greatest sum is content. An ``article`` (or ``main``)
-element that holds most of the remaining text is the body for this purpose, and is taken whole.
+that the result never holds go first: elements that say by their kind, class, id or role that they are a menu, header,
+footer, sidebar, notice, advert, form or the readers' comments. What is left is chosen by density alone: every node gets
+its link-adjusted characters per tag (``density``) and the sum of its children's densities; the threshold is the least
+density on the path from the body to the node of the greatest sum; below each node at or above the threshold the node of
+the greatest sum is content. Content inside an ``article`` element stands for the whole of it (its heading may be outside
+the subtree chosen).
 
 Blocks are texts between block-level boundaries; ``br`` is white space. A null, empty or textless page gives an empty
 text and 0 characters; repeated pages are rows of their own; empty tables give no rows; further columns are ignored.
@@ -177,26 +178,21 @@ def measure(order: list[Node]) -> None:
 def choose(order: list[Node]) -> None:
     """Marks the content nodes."""
     top = order[0]
-    for names in (("article",), ("main",)):
-        found = [n for n in order if n.tag in names]
-        if found:
-            best = max(found, key=lambda n: n.chars)
-            if best.chars * 2 >= top.chars:
-                best.wanted = True
-                return
-    if not any(n.total > 0 for n in order):
-        top.wanted = True
-        return
-    path, n = [], top.best
-    while n is not None:
-        path.append(n.density)
-        if n is top:
-            break
+    path, n = [top.best.density], top.best
+    while n is not top:
         n = n.parent
+        path.append(n.density)
     threshold = min(path)
     for n in order:
         if n.density >= threshold and n.density > 0:
             n.best.wanted = True
+    if not any(n.wanted for n in order):  # too little text for a density above 0
+        top.wanted = True
+    article = {}  # the outermost article element around each node, of those that are left
+    for n in order:
+        article[n] = article.get(n.parent) or (n if n.tag == "article" else None)
+        if n.wanted and article[n]:
+            article[n].wanted = True
 
 
 def blocks(order_root: Node) -> list[str]:

@@ -56,7 +56,7 @@ class Codec:
                 self.special.add(i)
             else:
                 self.ids[p], self.scores[p] = i, sp.get_score(i)
-        if not self.bytes_of or sp.normalize("  a  ﬁ ") != f"{MARK * 3}a {MARK}ﬁ{MARK}":
+        if MARK not in self.ids or not self.bytes_of or sp.normalize("  a  ﬁ ") != f"{MARK * 3}a {MARK}ﬁ{MARK}":
             raise ValueError("the model needs byte fallback, a dummy prefix and no normalisation")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a word mark after another character")
@@ -187,9 +187,10 @@ class Codec:
                 size = longest(s[pos : pos + widest])
         return out
 
-    def chunk(self, s: str) -> str:
-        """A chunk's ids in decimal, each with a space after it."""
-        return "".join([f"{i} " for i in self.chunk_ids(s)])
+    def chunk(self, s: str) -> tuple[str, str]:
+        """A chunk's ids in decimal, each with a space after it, and the text that these ids decode to."""
+        ids = self.chunk_ids(s)
+        return "".join([f"{i} " for i in ids]), self.raw(ids)
 
     def chunk_ids(self, s: str) -> list[int]:
         ids = self.ids
@@ -211,35 +212,40 @@ class Codec:
     def marked(text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
-    def decode(self, ids: list[int]) -> str:
+    def raw(self, ids: list[int]) -> str:
+        """The text of ids before a dummy prefix is taken off."""
         out: list[str] = []
         run = bytearray()
-        first = True
-        for i in [*ids, -1]:
+        for i in ids:
             if i in self.bytes_of:
                 run.append(self.bytes_of[i])
                 continue
             if run:
                 out.append(_utf8(bytes(run)))
                 run.clear()
-                first = False
-            if i == -1 or i in self.special:
-                continue
-            p = self.pieces[i]
-            if first and p.startswith(MARK):
-                p = p[1:]
-            first = False
-            out.append(p.replace(MARK, " "))
+            if i not in self.special:
+                out.append(self.pieces[i].replace(MARK, " "))
+        if run:
+            out.append(_utf8(bytes(run)))
         return "".join(out)
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; the first piece's word mark, which the encoder puts there, goes."""
+        first = next((i for i in ids if i not in self.special), None)
+        text = self.raw(ids)
+        return text[1:] if first is not None and first not in self.bytes_of and self.pieces[first].startswith(MARK) else text
+
     def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids with the end, SHA-256 of the ids, SHA-256 of the decoded text).
+        """(number of ids with the end, SHA-256 of the ids, SHA-256 of the text that they decode to).
 
-        A chunk's pieces joined are the chunk, and no byte run goes on from one chunk into the next, so the ids decode to
-        the text with spaces for its word marks; ``decode`` gives the same from the ids alone.
+        Both ways go by chunk: a chunk begins with a word mark, which is no byte's piece, so no run of bytes goes on from
+        one chunk into the next, and the decoded chunks joined are the decoded whole.
         """
-        ids = "".join(map(self.cache.__getitem__, CHUNK.findall(self.marked(text))))
-        return ids.count(" ") + 1, sha256(f"{ids}{self.end}".encode()).hexdigest(), sha256(text.replace(MARK, " ").encode()).hexdigest()
+        if not text:
+            return 1, sha256(str(self.end).encode()).hexdigest(), sha256(b"").hexdigest()
+        ids, back = zip(*map(self.cache.__getitem__, CHUNK.findall(self.marked(text))))
+        ids, back = "".join(ids), "".join(back)
+        return ids.count(" ") + 1, sha256(f"{ids}{self.end}".encode()).hexdigest(), sha256(back[1:].encode()).hexdigest()
 
 
 class Chunks(dict):

@@ -1,8 +1,10 @@
 """SentencePiece encoding against the library, page extraction, licences and nearest neighbours against brute force."""
 
 import hashlib
+import math
 import random
 from functools import cache
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -101,6 +103,80 @@ def test_density_picks_the_article_among_boxes():
     assert got.count("\n\n") == 4 and "teaser" not in got
 
 
+def brute_main_text(html):
+    """Composite text density by its definition, over an XML parse: sums are taken afresh for every node."""
+    body = ElementTree.fromstring(html).find("body")
+    up = {k: n for n in body.iter() for k in n}
+    squeeze = lambda t: len("".join((t or "").split()))
+    chars = lambda n: squeeze("".join(n.itertext()))
+    tags = lambda n, only=None: sum(k is not n and (only is None or k.tag == only) for k in n.iter())
+    links = lambda n: chars(n) if n.tag == "a" else sum(chars(k) for k in n.iter("a"))
+
+    def density(n):
+        c, t, lc, lt = chars(n), max(tags(n), 1), links(n), max(tags(n, "a"), 1)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + links(body) / max(chars(body), 1) * c + math.e**math.e)
+        return c / t * math.log(max(c / max(lc, 1) * t / lt, 1)) / math.log(base)
+
+    of = {n: density(n) for n in body.iter()}
+    total = {n: sum(of[k] for k in n) for n in body.iter()}
+    greatest = lambda n: max(n.iter(), key=lambda k: total[k])
+    best = n = greatest(body)
+    path = [best]
+    while n is not body:
+        path.append(n := up[n])
+    least = min(of[k] for k in path)
+    wanted = {greatest(n) for n in body.iter() if of[n] >= least and of[n] > 0} or {body}
+    out, run = [], []
+
+    def close():
+        if text := " ".join("".join(run).split()):
+            out.append(text)
+        run.clear()
+
+    def walk(n, inside):
+        begins = n in wanted and not inside
+        edge = n.tag in ("div", "p", "body", "section") or begins
+        inside = inside or n in wanted
+        if edge:
+            close()
+        if inside:
+            run.append(n.text or "")
+        for k in n:
+            walk(k, inside)
+            if inside:
+                run.append(k.tail or "")
+        if edge:
+            close()
+
+    walk(body, False)
+    return "\n\n".join(out)
+
+
+def test_main_text_equals_brute_force():
+    r = random.Random(21)
+
+    def node(depth):
+        tag = r.choice(["div", "div", "p", "section", "a", "b"]) if depth else "div"
+        inner = "".join(r.choice(["", " some words of text ", f"word{r.randrange(99)} " * r.randint(1, 40)]) if r.random() < 0.5 or depth > 4 or tag in "pab" else node(depth + 1) for _ in range(r.randint(0, 5)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(400):
+        html = f"<html><body>{''.join(node(0) for _ in range(r.randint(1, 5)))}</body></html>"
+        assert html_text.main_text(html) == brute_main_text(html)
+
+
+def test_two_articles_and_boxes_without_names():
+    words = "some words of a paragraph that go on for a while, "
+    part = lambda n, k: "<h2>Part</h2>" + "".join(f"<p>{words * 3}{k}.{j}</p>" for j in range(n))
+    box = "<div class=q1>Eat at this place</div>"
+    got = html_text.main_text(f"<body>{box}<main><article>{part(6, 1)}</article>{box}<article>{part(4, 2)}</article></main>{box}</body>")
+    assert got.count("\n\n") == 11 and "Eat" not in got
+    got = html_text.main_text(f"<body>{box}<article><div><h1>Heading</h1></div><div>{part(6, 1)}</div></article>{box}</body>")
+    assert got.startswith("Heading\n\nPart\n\n") and "Eat" not in got
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "<!-- never ends <p>x</p>", "<script>never ends", "<a href='x>y", "</p></div>", "<div>" * 3000 + "x", "&am", "<p>&lt;b&gt;</p>", "text only", "<p></p>" * 50, "<br>" * 50])
 def test_broken_pages(html):
     assert isinstance(html_text.main_text(html), str)
