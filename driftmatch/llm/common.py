@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 BLOCK = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Text bytes for which there is a shard, and the most shards that one exchange of blocks makes.
+SHARD_BYTES, MOST_SHARDS, MOST_PARTITIONS = 1 << 25, 1 << 13, 1 << 16
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -35,7 +38,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs a reread only."""
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the write's own shuffle files go once it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +72,22 @@ def text_bytes(texts: DataFrame, text_col: str = "text") -> int:
     return texts.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
+def shards_for(spark: SparkSession, texts: DataFrame, text_col: str = "text") -> int:
+    """Shards that hold about as much each at every size of the input."""
+    return max(2 * parallel(spark), text_bytes(texts, text_col) // SHARD_BYTES + 1)
+
+
+def by_shard(rows: DataFrame, shards: int, split):
+    """Groups by the column ``shard`` of tables of packed blocks.
+
+    With more than MOST_SHARDS shards the rows come by shard modulo MOST_SHARDS, as blocks for more of them would hold next
+    to nothing; ``split`` (of batches, for mapInArrow) cuts them anew once they are together.
+    """
+    if shards > MOST_SHARDS:
+        rows = rows.repartition(MOST_SHARDS, "shard").mapInArrow(split, rows.schema)
+    return rows.repartition(min(shards, MOST_PARTITIONS), "shard").groupBy("shard")
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and where each text begins and ends; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

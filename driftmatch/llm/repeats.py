@@ -9,36 +9,35 @@ windows, and equal windows (128-bit hashes) are grouped the same way.
 
 Every task first settles what repeats inside its own run of texts, so a passage that a third of all documents share
 reaches a shard once for each run. A gram with very many different spans in one run goes straight to windows, and a
-marker makes the other runs do so too. Nothing is capped, and no group is collected but a shard, of which there are
-twice the session's shuffle partitions.
+marker makes the other runs do so too. Nothing is capped, and no group is collected but a shard, of which there is one
+for every ``SHARD_BYTES`` bytes of text.
 
 ``suffix_array`` is the linear grouping construction (groups of suffixes by Lyndon prefix, in descending order). It is
 the method dealt for this operator; in Python it takes microseconds a byte, which no budget of a whole corpus allows
 (the README has the figures), so it serves ``removed_by_suffix_array`` for one block of texts and the tests.
 
-A null or empty text has no bytes. Ids are taken to be unique: rows that repeat an id are one document, of which a range
-that goes in one goes in all; a row without an id keeps all its bytes and takes none from others. An empty table gives
-no rows; other columns are ignored.
+A null or empty text has no bytes. Rows of one id and different texts are documents of their own, in the order of a hash
+of their texts; rows of one id and one text are one document, with one result for each row. A row without an id keeps
+all its bytes and takes none from others. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmatch.llm.common import BYTE, U, buffers, drop_table, mix, pack, parallel, pieces, powers, unpack, written
+from driftmatch.llm import common
+from driftmatch.llm.common import BYTE, U, buffers, by_shard, drop_table, mix, pack, pieces, powers, shards_for, unpack, written
 
 WIDTH, GRAM, RUN, HOT = 100, 32, 1 << 18, 64
-#: Columns of the packed blocks.
-OWNERS = (np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int32)  # gram, span, left, right, doc, first window, windows - 1
-RANGES = (np.int64, np.int64, np.int64)  # doc, start, end
-WINDOWS = (np.uint64, np.uint64, np.int64, np.int64)  # two hashes, doc, start
+#: Columns of the packed blocks. A document is its id and a tie, which is 0 unless ids repeat.
+OWNERS = (np.uint64, np.uint64, np.uint16, np.uint16, np.int64, np.int64, np.int64, np.int32)  # gram, span, left, right, doc, tie, first window, windows - 1
+RANGES = (np.int64, np.int64, np.int64, np.int64)  # doc, tie, start, end
+WINDOWS = (np.uint64, np.uint64, np.int64, np.int64, np.int64)  # two hashes, doc, tie, start
 _ALT = mix(BYTE)
 
 
@@ -82,7 +81,7 @@ def owners(x: np.ndarray, width: int = WIDTH, gram: int = GRAM):
     piece = lambda s, e, v: mix((sums[e] - sums[s]) * down[s] + v.astype(U))
     half = (width - gram) // 2
     left, right = np.maximum(at - half, 0), np.minimum(at + gram + half, n)
-    return h[at], piece(a, b + width, b - a), (piece(left, at, at - left) >> U(32)).astype(np.uint32), (piece(at + gram, right, right - at) >> U(32)).astype(np.uint32), a, (b - a).astype(np.int32)
+    return h[at], piece(a, b + width, b - a), (piece(left, at, at - left) >> U(48)).astype(np.uint16), (piece(at + gram, right, right - at) >> U(48)).astype(np.uint16), a, (b - a).astype(np.int32)
 
 
 def windows(x: np.ndarray, first: np.ndarray, more: np.ndarray, width: int = WIDTH):
@@ -96,31 +95,33 @@ def windows(x: np.ndarray, first: np.ndarray, more: np.ndarray, width: int = WID
     return out[0], out[1], s
 
 
-def _later(keys: tuple[np.ndarray, ...], doc: np.ndarray, pos: np.ndarray):
-    """(order by keys, doc, pos; whether each in that order has an earlier equal; where groups begin)."""
-    o = np.lexsort((pos, doc, *keys[::-1]))
+def _later(keys: tuple[np.ndarray, ...], doc: np.ndarray, tie: np.ndarray, pos: np.ndarray):
+    """(order by keys, doc, tie, pos; whether each in that order has an earlier equal; where groups begin)."""
+    o = np.lexsort((pos, tie, doc, *keys[::-1]))
     new = np.ones(len(o), bool)
     for i, k in enumerate(keys):
         s = k[o]
         new[1:] = (s[1:] != s[:-1]) if i == 0 else new[1:] | (s[1:] != s[:-1])
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    d, p = doc[o], pos[o]
-    later = (d != d[first][group]) | (p != p[first][group]) if len(o) else new
+    later = np.zeros(len(o), bool)
+    for x in (doc, tie, pos):
+        s = x[o]
+        later |= s != s[first][group]
     return o, later, new
 
 
-def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
+def merged(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Overlapping and touching ranges of a document joined."""
-    o = np.lexsort((start, doc))
-    doc, start, end = doc[o], start[o], end[o]
+    o = np.lexsort((start, tie, doc))
+    doc, tie, start, end = doc[o], tie[o], start[o], end[o]
     if not len(doc):
-        return doc, start, end
-    shift = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])]) * (int(end.max()) + 1)
+        return doc, tie, start, end
+    shift = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]))]) * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + shift)
     new = np.concatenate([[True], (start + shift)[1:] > reach[:-1]])
     at = np.flatnonzero(new)
-    return doc[at], start[at], np.append(reach[at[1:] - 1], reach[-1]) - shift[at]
+    return doc[at], tie[at], start[at], np.append(reach[at[1:] - 1], reach[-1]) - shift[at]
 
 
 def _emit(found: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
@@ -128,68 +129,107 @@ def _emit(found: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(kind, pa.string()), pa.array(shard, pa.int32()), pa.array(block, pa.binary())], ["kind", "shard", "block"])
 
 
-def _sharded(kind: str, shard: np.ndarray, shards: int, cols) -> list[tuple[str, int, bytes]]:
+def _sharded(kind: str, shards: int, cols) -> list[tuple[str, int, bytes]]:
+    """A block for each shard of the rows by their first column; with many shards see ``by_shard``."""
+    shard, n = (cols[0] % U(shards)).astype(np.int64), shards
+    if shards > common.MOST_SHARDS:
+        n = common.MOST_SHARDS
+        shard %= n
+    return _cut(kind, shard, n, cols)
+
+
+def _cut(kind: str, shard: np.ndarray, n: int, cols) -> list[tuple[str, int, bytes]]:
     o = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[o], np.arange(shards + 1))
-    return [(kind, k, pack(*(c[o[cut[k] : cut[k + 1]]] for c in cols))) for k in range(shards) if cut[k] < cut[k + 1]]
+    cut = np.searchsorted(shard[o], np.arange(n + 1))
+    return [(kind, k, pack(*(c[o[cut[k] : cut[k + 1]]] for c in cols))) for k in np.flatnonzero(np.diff(cut)).tolist()]
+
+
+def _split(kind: str, types, shards: int):
+    """For ``by_shard``: blocks of ``kind`` cut by shard, the others as they are."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def flush():
+            cols = [np.concatenate(c) for c in zip(*held)]
+            shard = (cols[0] % U(shards)).astype(np.int64)
+            own, shard = np.unique(shard, return_inverse=True)
+            return _emit([(k, int(own[s]), x) for k, s, x in _cut(kind, shard, len(own), cols)])
+
+        for b in batches:
+            for k, s, x in zip(*(c.to_pylist() for c in b.columns)):
+                if k != kind:
+                    yield _emit([(k, s, x)])
+                    continue
+                held.append(unpack(x, *types))
+                n += len(held[-1][0])
+                if n >= 8 * RUN:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    return run
 
 
 _COLS = "kind string, shard int, block binary"
 
 
-def _settle(rows: list, texts: dict, shards: int, width: int) -> list[tuple[str, int, bytes]]:
+def _settle(rows: list, texts: list, shards: int, width: int) -> list[tuple[str, int, bytes]]:
     """A run's owners: its inner repeats as ranges, its hot grams' windows, the rest for the shards."""
-    g, s, left, right, doc, a, more = (np.concatenate(c) for c in zip(*rows))
-    o, later, new = _later((g, s), doc, a)
+    g, s, left, right, doc, tie, a, more, row = (np.concatenate(c) for c in zip(*rows))
+    o, later, new = _later((g, s), doc, tie, a)
     out = []
     d = o[later]
     if len(d):
-        out.append(("range", int(doc[d[0]] % shards), pack(*merged(doc[d], a[d], a[d] + more[d] + width))))
+        out.append(("range", 0, pack(*merged(doc[d], tie[d], a[d], a[d] + more[d] + width))))
     o = o[new]
     begins = np.concatenate([[True], g[o][1:] != g[o][:-1]]) if len(o) else np.zeros(0, bool)
     group = np.cumsum(begins) - 1
     hot = np.bincount(group)[group] > HOT if len(o) else begins
     cold, warm = o[~hot], o[hot]
     marks = o[hot & begins]  # one row without a document for each hot gram
-    cols = [np.concatenate([c[cold], c[marks]]) for c in (g, s, left, right, doc, a, more)]
-    cols[6][len(cold) :] = -1
-    out += _sharded("owner", (cols[0] % U(shards)).astype(np.int64), shards, cols)
+    cols = [np.concatenate([c[cold], c[marks]]) for c in (g, s, left, right, doc, tie, a, more)]
+    cols[-1][len(cold) :] = -1
+    out += _sharded("owner", shards, cols)
     if len(warm):
         parts = []
-        for k in np.unique(doc[warm]).tolist():
-            mine = warm[doc[warm] == k]
+        for k in np.unique(row[warm]).tolist():
+            mine = warm[row[warm] == k]
             w = windows(texts[k], a[mine], more[mine], width)
-            parts.append((w[0], w[1], np.full(len(w[0]), k), w[2]))
+            parts.append((w[0], w[1], np.full(len(w[0]), doc[mine[0]]), np.full(len(w[0]), tie[mine[0]]), w[2]))
         out += _window_rows(parts, shards, width)
     return out
 
 
 def _window_rows(parts: list, shards: int, width: int) -> list:
-    h1, h2, doc, pos = (np.concatenate(c) for c in zip(*parts))
-    o, later, new = _later((h1, h2), doc, pos)
+    h1, h2, doc, tie, pos = (np.concatenate(c) for c in zip(*parts))
+    o, later, new = _later((h1, h2), doc, tie, pos)
     out, d = [], o[later]
     if len(d):
-        out.append(("range", int(doc[d[0]] % shards), pack(*merged(doc[d], pos[d], pos[d] + width))))
+        out.append(("range", 0, pack(*merged(doc[d], tie[d], pos[d], pos[d] + width))))
     o = o[new]
-    return out + _sharded("window", (h1[o] % U(shards)).astype(np.int64), shards, (h1[o], h2[o], doc[o], pos[o]))
+    return out + _sharded("window", shards, (h1[o], h2[o], doc[o], tie[o], pos[o]))
 
 
 def _find_owners(shards: int, width: int, gram: int):
+    most = max(RUN, 64 * min(shards, common.MOST_SHARDS))
+
     def run(batches):
-        rows, texts, n = [], {}, 0
+        rows, texts, n = [], [], 0
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for first, _, data, offs in pieces(*buffers(b.column(1))):
+            ids, ties = (np.asarray(b.column(k)) for k in (0, 1))
+            for first, _, data, offs in pieces(*buffers(b.column(2))):
                 for i in np.flatnonzero(np.diff(offs) >= width).tolist():
                     x = data[offs[i] : offs[i + 1]]
                     got = owners(x, width, gram)
-                    k = ids[first + i]
-                    rows.append((*got[:4], np.full(len(got[0]), k, np.int64), *got[4:]))
-                    texts[k] = x.copy()
+                    same = lambda v: np.full(len(got[0]), v, np.int64)
+                    rows.append((*got[:4], same(ids[first + i]), same(ties[first + i]), *got[4:], same(len(texts))))
+                    texts.append(x.copy())
                     n += len(got[0])
-                    if n >= RUN:
+                    if n >= most:
                         yield _emit(_settle(rows, texts, shards, width))
-                        rows, texts, n = [], {}, 0
+                        rows, texts, n = [], [], 0
         if n:
             yield _emit(_settle(rows, texts, shards, width))
 
@@ -204,14 +244,14 @@ def _match_owners(width: int):
         parts = [unpack(x.as_py(), *OWNERS) for k, x in zip(kinds, blocks) if k == "owner"]
         if not parts:
             return pa.Table.from_batches([_emit(out)])
-        g, s, left, right, doc, a, more = map(np.concatenate, zip(*parts))
+        g, s, left, right, doc, tie, a, more = map(np.concatenate, zip(*parts))
         mark = more < 0
         marked = np.isin(g, np.unique(g[mark]))
-        g, s, left, right, doc, a, more, marked = (x[~mark] for x in (g, s, left, right, doc, a, more, marked))
-        o, later, new = _later((g, s), doc, a)
+        g, s, left, right, doc, tie, a, more, marked = (x[~mark] for x in (g, s, left, right, doc, tie, a, more, marked))
+        o, later, new = _later((g, s), doc, tie, a)
         d = o[later]
         if len(d):
-            out.append(("range", -1, pack(*merged(doc[d], a[d], a[d] + more[d] + width))))
+            out.append(("range", -1, pack(*merged(doc[d], tie[d], a[d], a[d] + more[d] + width))))
         o = o[new]
         unclear = marked[o]
         for side in (left, right):
@@ -222,7 +262,7 @@ def _match_owners(width: int):
             unclear[key[same[1:] | same[:-1]]] = True
         d = o[unclear]
         if len(d):
-            out.append(("border", -1, pack(doc[d], a[d], a[d] + more[d])))
+            out.append(("border", -1, pack(doc[d], tie[d], a[d], a[d] + more[d])))
         return pa.Table.from_batches([_emit(out)])
 
     return run
@@ -231,36 +271,35 @@ def _match_owners(width: int):
 def _match_windows(width: int):
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(x, *WINDOWS) for x in table.column("block").to_pylist()]
-        h1, h2, doc, pos = map(np.concatenate, zip(*parts))
-        o, later, _ = _later((h1, h2), doc, pos)
+        h1, h2, doc, tie, pos = map(np.concatenate, zip(*parts))
+        o, later, _ = _later((h1, h2), doc, tie, pos)
         d = o[later]
-        return pa.Table.from_batches([_emit([("range", -1, pack(*merged(doc[d], pos[d], pos[d] + width)))] if len(d) else [])])
+        return pa.Table.from_batches([_emit([("range", -1, pack(*merged(doc[d], tie[d], pos[d], pos[d] + width)))] if len(d) else [])])
 
     return run
 
 
 def _flat(blocks: DataFrame) -> DataFrame:
-    """(doc_id, s, e) of packed ranges."""
+    """(doc_id, tie, s, e) of packed ranges."""
 
     def run(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
-                doc, s, e = unpack(x, *RANGES)
-                yield pa.record_batch([pa.array(doc), pa.array(s), pa.array(e)], ["doc_id", "s", "e"])
+                yield pa.record_batch([pa.array(c) for c in unpack(x, *RANGES)], ["doc_id", "tie", "s", "e"])
 
-    return blocks.select("block").mapInArrow(run, "doc_id long, s long, e long")
+    return blocks.select("block").mapInArrow(run, "doc_id long, tie long, s long, e long")
 
 
 def _small(texts: DataFrame) -> DataFrame:
-    """(doc_id, z): the texts compressed one by one, for joins that shuffle them."""
+    """(doc_id, tie, z): the texts compressed one by one, for joins that shuffle them."""
 
     def run(batches):
         for b in batches:
-            data, offs = buffers(b.column(1))
+            data, offs = buffers(b.column(2))
             z = [pack(data[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            yield pa.record_batch([b.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(z, pa.binary())], ["doc_id", "tie", "z"])
 
-    return texts.mapInArrow(run, "doc_id long, z binary")
+    return texts.mapInArrow(run, "doc_id long, tie long, z binary")
 
 
 def _bytes(z: pa.Scalar) -> np.ndarray:
@@ -269,7 +308,7 @@ def _bytes(z: pa.Scalar) -> np.ndarray:
 
 def _by_doc(ranges: DataFrame) -> DataFrame:
     """A document's ranges in one array: no more of them than it has bytes."""
-    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("r"))
+    return ranges.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("r"))
 
 
 def _pairs(col: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,13 +320,14 @@ def _border_windows(shards: int, width: int):
     def run(batches):
         parts, n = [], 0
         for b in batches:
-            r = b.column(2)
+            r = b.column(3)
             for i in range(len(b)):
-                x = _bytes(b.column(1)[i])
+                x = _bytes(b.column(2)[i])
                 a, last = _pairs(r, i)
                 keep = last + width <= len(x)
                 w = windows(x, a[keep], last[keep] - a[keep], width)
-                parts.append((w[0], w[1], np.full(len(w[0]), b.column(0)[i].as_py()), w[2]))
+                same = lambda k: np.full(len(w[0]), b.column(k)[i].as_py(), np.int64)
+                parts.append((w[0], w[1], same(0), same(1), w[2]))
                 n += len(w[0])
                 if n >= RUN:
                     yield _emit(_window_rows(parts, shards, width))
@@ -298,35 +338,40 @@ def _border_windows(shards: int, width: int):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now; it does so when its driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tie, text)."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    repeated = own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return own.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie") if repeated else F.lit(0).cast("long").alias("tie"), "text")
 
 
-def removed_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, s, e): byte ranges that repeat earlier ones; they may overlap."""
-    spark, shards = docs.sparkSession, 2 * parallel(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found = texts.mapInArrow(_find_owners(shards, width, gram), _COLS).groupBy("shard").applyInArrow(_match_owners(width), _COLS)
+def _removed(texts: DataFrame, width: int, gram: int) -> DataFrame:
+    """(doc_id, tie, s, e): byte ranges that repeat earlier ones; they may overlap."""
+    spark = texts.sparkSession
+    texts = texts.where("doc_id is not null")
+    shards = shards_for(spark, texts)
+    found = by_shard(texts.mapInArrow(_find_owners(shards, width, gram), _COLS), shards, _split("owner", OWNERS, shards)).applyInArrow(_match_owners(width), _COLS)
     clear = written(spark, found, "repeats-spans")
-    _release(spark)
     borders = _by_doc(_flat(clear.where("kind = 'border'")))
-    cut = written(spark, _small(texts).join(borders, "doc_id").select("doc_id", "z", "r").mapInArrow(_border_windows(shards, width), _COLS), "repeats-windows")
-    _release(spark)
-    own = cut.where("kind = 'window'").union(clear.where("kind = 'window'")).groupBy("shard").applyInArrow(_match_windows(width), _COLS)
+    cut = written(spark, _small(texts).join(borders, ["doc_id", "tie"]).select("doc_id", "tie", "z", "r").mapInArrow(_border_windows(shards, width), _COLS), "repeats-windows")
+    some = cut.where("kind = 'window'").union(clear.where("kind = 'window'"))
+    matched = written(spark, by_shard(some, shards, _split("window", WINDOWS, shards)).applyInArrow(_match_windows(width), _COLS), "repeats-matched")
     pure = lambda df: df.where("kind = 'range'")
-    ranges = written(spark, _flat(pure(clear).union(pure(cut)).union(pure(written(spark, own, "repeats-matched")))), "repeats-ranges")
-    for done in (clear, cut):
+    ranges = written(spark, _flat(pure(clear).union(pure(cut)).union(pure(matched))), "repeats-ranges")
+    for done in (clear, cut, matched):
         drop_table(spark, done)
-    _release(spark)
     return ranges
 
 
+def removed_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tie, s, e): byte ranges that repeat earlier ones; they may overlap. ``tie`` tells rows of one id apart by their texts."""
+    return _removed(_texts(docs, id_col, text_col), width, gram)
+
+
 def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and the kept bytes as ``kept`` if ``with_bytes``."""
-    ranges = _by_doc(removed_ranges(docs, width, gram, id_col, text_col))
+    texts = _texts(docs, id_col, text_col)
+    ranges = _by_doc(_removed(texts, width, gram))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes
 
     def run(batches):
@@ -337,10 +382,8 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str =
                 gone = n = 0
                 if b.column(2)[i].is_valid:
                     s, e = _pairs(b.column(2), i)
-                    e = np.minimum(e, len(x))
-                    _, s, e = merged(np.zeros(len(s), np.int64), s, e)
-                    ok = e > s
-                    s, e = s[ok], e[ok]
+                    none = np.zeros(len(s), np.int64)
+                    *_, s, e = merged(none, none, s, e)
                     n, gone = len(s), int((e - s).sum())
                     stay = np.stack([np.concatenate([[0], e]), np.concatenate([s, [len(x)]])], 1).tolist()
                     kept = b"".join(x[a:z].tobytes() for a, z in stay)
@@ -351,9 +394,8 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str =
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(cols[: len(names) - 1], types))], names)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return _small(texts).join(ranges, "doc_id", "left").select("doc_id", "z", "r").mapInArrow(run, schema)
+    return _small(texts).join(ranges, ["doc_id", "tie"], "left").select("doc_id", "z", "r").mapInArrow(run, schema)
 
 
 def suffix_array(text) -> list[int]:

@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from driftmatch.llm import repeats, simhash
+from driftmatch.llm import common, repeats, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -191,9 +191,10 @@ def corpus(seed):
     return out + out[:10] + [None, "", "De " * 3000, "ab" * 500 + "x" + "ab" * 500, "q" * 99, "q" * 100, "q" * 101, "q" * 250, "é" * 300]
 
 
-@pytest.mark.parametrize("hot", [2, 64])
-def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, most", [(2, 1 << 13), (64, 1 << 13), (2, 3)])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot, most):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(common, "MOST_SHARDS", most)
     monkeypatch.setattr(repeats, "RUN", 300)
     texts = corpus(3)
     got = {x.doc_id: x for x in repeats.remove(docs(spark, texts).repartition(5), with_bytes=True).collect()}
@@ -212,3 +213,22 @@ def test_repeats_edges(spark):
     got = {x.doc_id: x.n_removed for x in repeats.remove(df).collect()}
     assert got[None] == 0  # a row without an id neither loses bytes nor takes any
     assert got[1] == 299 and got[2] == 0
+
+
+def test_repeats_of_repeated_ids(spark, monkeypatch):
+    r = random.Random(11)
+    gram, tail = "g" * 64, "".join(r.choices("abcdefgh ", k=150))
+    texts = [(1, "".join(gram + "".join(r.choices("abcdefgh", k=60)) for _ in range(600))), (1, tail), (1, tail), (2, "x" + tail), (0, None), (None, tail), (3, "short"), (3, "other " * 40)]
+    got = repeats.remove(spark.createDataFrame(texts, "doc_id int, text string").repartition(1), with_bytes=True).collect()
+    by = sorted(((x.doc_id is None, x.doc_id or 0, x.n_bytes, x.n_removed, x.n_spans) for x in got))
+    assert len(by) == 8 and by[0] == (False, 0, 0, 0, 0) and by[-1] == (True, 0, 150, 0, 0)
+    # Rows equal in id and text are one document, rows of one id and different texts are not.
+    assert [x[2:] for x in by if x[1] == 1 and x[2] == 150] == [(150, 0, 0)] * 2
+    assert (False, 2, 151, 150, 1) in by and (False, 3, 5, 0, 0) in by
+    assert sum(x[2] for x in by if x[1] == 1) == 600 * 124 + 300
+
+
+def test_exchanges_of_blocks(spark):
+    grouped = common.by_shard(spark.range(10).selectExpr("cast(id as int) shard", "cast('' as binary) block"), 9, None).applyInArrow(lambda t: t, "shard int, block binary")
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
