@@ -17,7 +17,7 @@ U = np.uint64
 BLOCK = 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Text bytes for which there is a shard, and the most shards that one exchange of blocks makes.
-SHARD_BYTES, MOST_SHARDS, MOST_PARTITIONS = 1 << 25, 1 << 13, 1 << 16
+SHARD_BYTES, MOST_SHARDS, MOST_PARTITIONS = 1 << 24, 1 << 13, 1 << 16
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -72,9 +72,9 @@ def text_bytes(texts: DataFrame, text_col: str = "text") -> int:
     return texts.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
-def shards_for(spark: SparkSession, texts: DataFrame, text_col: str = "text") -> int:
+def shards_for(spark: SparkSession, nbytes: int) -> int:
     """Shards that hold about as much each at every size of the input."""
-    return max(2 * parallel(spark), text_bytes(texts, text_col) // SHARD_BYTES + 1)
+    return max(2 * parallel(spark), nbytes // SHARD_BYTES + 1)
 
 
 def by_shard(rows: DataFrame, shards: int, split):

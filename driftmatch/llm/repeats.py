@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmatch.llm import common
-from driftmatch.llm.common import BYTE, U, buffers, by_shard, drop_table, mix, pack, pieces, powers, shards_for, unpack, written
+from driftmatch.llm.common import BYTE, U, buffers, by_shard, drop_table, mix, pack, pieces, powers, shards_for, text_bytes, unpack, written
 
 WIDTH, GRAM, RUN, HOT = 100, 32, 1 << 18, 64
 #: Columns of the packed blocks. A document is its id and a tie, which is 0 unless ids repeat.
@@ -349,7 +349,7 @@ def _removed(texts: DataFrame, width: int, gram: int) -> DataFrame:
     """(doc_id, tie, s, e): byte ranges that repeat earlier ones; they may overlap."""
     spark = texts.sparkSession
     texts = texts.where("doc_id is not null")
-    shards = shards_for(spark, texts)
+    shards = shards_for(spark, text_bytes(texts))
     found = by_shard(texts.mapInArrow(_find_owners(shards, width, gram), _COLS), shards, _split("owner", OWNERS, shards)).applyInArrow(_match_owners(width), _COLS)
     clear = written(spark, found, "repeats-spans")
     borders = _by_doc(_flat(clear.where("kind = 'border'")))

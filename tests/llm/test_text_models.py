@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftmatch.llm import decontaminate, ngram_lm, toxicity
+from driftmatch.llm import common, decontaminate, ngram_lm, toxicity
 from driftmatch.llm.common import buffers, tokens
 
 
@@ -29,7 +29,8 @@ def brute_lm(train, texts, order):
         p = ["\0bos"] * (order - 1) + s
         grams[order].update(tuple(p[i : i + order]) for i in range(len(s)))
     for n in range(order - 1, 0, -1):
-        grams[n].update(g[1:] for g in grams[n + 1])
+        for g, c in grams[n + 1].items():
+            grams[n][g[1:]] += c if n > 1 and g[1] == "\0bos" else 1
 
     def disc(c):
         of = collections.Counter(c.values())
@@ -80,8 +81,8 @@ def test_model_sums_to_one(spark):
     h = ngram_lm.text_hashes(*buffers(pa.array(["a b c unknown"])))[0]
     for before in (h[0], h[3]):
         p = np.full(len(h), 1 / (model.vocabulary + 1))
-        for spec in model.levels:
-            level = ngram_lm.Level(spec, model.folder)
+        for spec in model.levels[:2]:
+            level = ngram_lm.Level(spec, model.store)
             ctx = ngram_lm.context_hash([np.full(len(h), before)][: level.level - 1], h)
             p, _ = level.interpolate(ctx, h, p)
         assert p.sum() == pytest.approx(1)
@@ -101,10 +102,47 @@ def test_model_edges(spark):
 def test_counts_above_a_byte(spark):
     texts = ["a b " * 400, "b a"]
     model = ngram_lm.train(docs(spark, texts), shards=2)
-    want, _ = brute_lm(texts, texts, 2)
+    want, _ = brute_lm(texts, texts, 3)
     assert [r.score for r in sorted(ngram_lm.score(docs(spark, texts), model).collect())] == pytest.approx([w[2] for w in want])
 
 
+def test_many_shards_go_in_two_exchanges(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_SHARDS", 3)
+    r = random.Random(3)
+    texts = [" ".join(r.choices("abcdefgh", k=30)) for _ in range(60)] + ["x" * 70_000 + " y " * 3000]
+    df = docs(spark, texts).withColumn("doc_id", F.lit(4))  # one id for all rows
+    model = ngram_lm.train(df.repartition(3), shards=10)
+    want, n = brute_lm(texts, texts, 3)
+    got = [(x.doc_id, x.n_tokens, x.n_known, round(x.score, 6)) for x in ngram_lm.score(df, model).collect()]
+    assert sorted(got) == sorted((4, a, b, round(c, 6)) for a, b, c in want) and model.train_tokens == n
+    assert all((x["sizes"] > 0).sum() > 3 for x in model.levels)
+
+
+def test_a_lost_file_is_an_error(spark):
+    df = docs(spark, ["a b c", "b c d"])
+    model = ngram_lm.train(df, shards=2)
+    k = int(np.flatnonzero(model.levels[1]["sizes"])[0])
+    store, path = model.store._at(f"2-{k}")
+    store.delete_file(path)
+    with pytest.raises(Exception, match="a file of"):
+        ngram_lm.score(df, model).collect()
+    model.delete()
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = dict
+        get = None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    Session.sparkContext.getConf = lambda: {}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session(), "x")
+
+
 def test_tokenizer_equals_split():
     import pyarrow as pa
 
