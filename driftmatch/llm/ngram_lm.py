@@ -36,7 +36,7 @@ from driftmatch.llm.common import U, buffers, by_shard, drop_table, mix, pair, p
 
 END, BOS, EMPTY = U(0x51AB3F9D7C2E8841), U(0xB7E151628AED2A6B), U(0x243F6A8885A308D3)
 #: Tokens that a task sums at a time; bytes of the sample for each shard; files that a worker has open.
-RUN, SAMPLE, OPEN = 1 << 20, 1 << 13, 1 << 12
+RUN, SAMPLE, OPEN = 1 << 21, 1 << 13, 1 << 12
 _ROWS = "shard int, block binary"
 
 

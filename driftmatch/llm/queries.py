@@ -26,7 +26,7 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(lm.held_out(), F.lit(False))
-    model = lm.train(docs.where(~held))
+    model = lm.train(docs.where(~held), order=2)
     return lm.score(docs, model).withColumn("held_out", held).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
 
 
