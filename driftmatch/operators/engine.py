@@ -22,6 +22,7 @@ from driftmatch.plans.spec import Limits, Options, Pattern, Penalties, Similarit
 
 MATCHES = f"array<{fm.MATCH}>"
 _FIELDS = [("pattern_index", pa.int32()), ("pattern", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("similarity", pa.float32()), *((k, pa.int16()) for k in ("insertions", "deletions", "substitutions", "swaps", "edits")), ("text", pa.string())]
+MOST_SEEDS = 256
 ARROW_MATCH = pa.struct(_FIELDS)
 
 
@@ -117,6 +118,8 @@ class Engine:
         seeds, t = self.seeds(threshold), fm.col(text)
         if seeds is None:
             return t.isNotNull()
+        if len(seeds) > MOST_SEEDS:
+            return t.isNotNull()  # the kernel's automaton is faster than so long an alternation
         if not seeds:
             return F.lit(False)
         # Outside ASCII a cluster's first character stands for it, so only ASCII texts are judged here.

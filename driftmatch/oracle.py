@@ -25,9 +25,11 @@ class Case:
     case_insensitive: bool = False
     mappings: tuple = ()
     floor: float = 0.0
+    suffix_outputs: bool = False
+    beam: int | None = None
 
     def settings(self) -> dict:
-        return {"limits": self.limits, "penalties": self.penalties, "similarity": self.similarity, "case_insensitive": self.case_insensitive, "mappings": self.mappings, "floor": self.floor}
+        return {"limits": self.limits, "penalties": self.penalties, "similarity": self.similarity, "case_insensitive": self.case_insensitive, "mappings": self.mappings, "floor": self.floor, "suffix_outputs": self.suffix_outputs, "beam": self.beam}
 
 
 def quote(s: str) -> str:
@@ -58,7 +60,12 @@ def best_sql(case: Case) -> str:
         n = len(p.text)
         budget = int(n * 10000 * (1 - case.threshold / p.weight) + 1e-6)
         uid = 2 * p.custom_unique_id + 1 if p.custom_unique_id is not None else 2 * k
-        rows.append(f"({k}, {quote(p.text)}, {quote(p.text.lower() if case.case_insensitive else p.text)}, {n}, {p.weight}::DOUBLE, {', '.join(map(str, caps))}, {budget}, {uid})")
+        whole = p.text.lower() if case.case_insensitive else p.text
+        units = [whole]
+        if case.suffix_outputs:
+            units += sorted({x.text[:i] for x in pats for i in range(len(whole) + 1, len(x.text) + 1) if x.text[:i].endswith(whole)})
+        for u in units:
+            rows.append(f"({len(rows)}, {k}, {quote(p.text)}, {quote(u)}, {n}, {len(u)}, {p.weight}::DOUBLE, {', '.join(map(str, caps))}, {budget}, {uid})")
     like = {k: v for k, v in (case.similarity or Similarity()).table.items() if k[0] != k[1]}
     sims = ", ".join(f"({quote(a)}, {quote(b)}, {v})" for (a, b), v in sorted(like.items())) or "('', '', 0.0)"
     p = case.penalties
@@ -68,36 +75,40 @@ def best_sql(case: Case) -> str:
         for x, y in {(a, b), (b, a)}:
             x, y = (x.lower(), y.lower()) if case.case_insensitive else (x, y)
             moves.append(f"('b', {len(x)}, {len(y)}, {quote(x)}, {quote(y)}, {_units(p.substitution * (1 - score))})")
+    head = tail = ""
+    if case.beam:  # a turn of the recursion is a step of the sweep: of each start's distinct states the cheapest go on
+        head = "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY cid, t, s ORDER BY pen, i, j, e, ins, del, sub, swp) AS k FROM (SELECT cid, t, f, s, i, j, e, ins, del, sub, swp, min(pen)::INT AS pen FROM ("
+        tail = f") GROUP BY ALL)) WHERE k <= {case.beam}"
     return f"""
-pats(pid, pattern, u, n, w, ci, cd, cs, cw, ce, budget, uid) AS (VALUES {', '.join(rows)}),
+pats(cid, pid, pattern, u, n, lu, w, ci, cd, cs, cw, ce, budget, uid) AS (VALUES {', '.join(rows)}),
 sims(a, b, v) AS (VALUES {sims}),
 mv(k, di, dj, a, b, c) AS (VALUES {', '.join(moves)}),
 src AS (SELECT DISTINCT {case.column} AS t, {fold(case.column)} AS f FROM {case.table} WHERE {case.column} IS NOT NULL),
 st AS (
-  SELECT pid, t, f, s, 0 AS i, s AS j, s AS e, 0 AS ins, 0 AS del, 0 AS sub, 0 AS swp, 0 AS pen
+  SELECT cid, t, f, s, 0 AS i, s AS j, s AS e, 0 AS ins, 0 AS del, 0 AS sub, 0 AS swp, 0 AS pen
   FROM pats, (SELECT t, f, unnest(range(0, length(f))) AS s FROM src) WHERE budget >= 0
-  UNION
-  SELECT * EXCLUDE (ce, ci, cd, cs, cw, budget) FROM (
-    SELECT q.pid, q.t, q.f, q.s, (q.i + m.di)::INT AS i, (q.j + m.dj)::BIGINT AS j,
+  UNION {'ALL' * bool(case.beam)}
+  {head}SELECT * EXCLUDE (ce, ci, cd, cs, cw, budget) FROM (
+    SELECT q.cid, q.t, q.f, q.s, (q.i + m.di)::INT AS i, (q.j + m.dj)::BIGINT AS j,
       (CASE WHEN m.k IN ('i', 'd') THEN q.e ELSE q.j + m.dj END)::BIGINT AS e,
       q.ins + (m.k = 'i')::INT AS ins, q.del + (m.k = 'd')::INT AS del, q.sub + (m.k IN ('x', 'b'))::INT AS sub, q.swp + (m.k = 'w')::INT AS swp,
       (q.pen + CASE WHEN m.k = 'x' THEN round({_units(p.substitution)} * (1 - coalesce(z.v, 0)))::INT ELSE m.c END)::INT AS pen,
       p.ce, p.ci, p.cd, p.cs, p.cw, p.budget
-    FROM st q JOIN pats p USING (pid) CROSS JOIN mv m
+    FROM st q JOIN pats p USING (cid) CROSS JOIN mv m
     LEFT JOIN sims z ON z.a = substr(p.u, q.i + 1, 1) AND z.b = substr(q.f, (q.j + 1)::INT, 1)
-    WHERE q.i < p.n AND (
+    WHERE q.i < p.lu AND (
       (m.k = 'm' AND q.j < length(q.f) AND substr(p.u, q.i + 1, 1) = substr(q.f, (q.j + 1)::INT, 1))
       OR (m.k = 'x' AND q.j < length(q.f) AND substr(p.u, q.i + 1, 1) <> substr(q.f, (q.j + 1)::INT, 1) AND coalesce(z.v, 0) >= {case.floor})
-      OR (m.k = 'w' AND q.i + 1 < p.n AND q.j + 1 < length(q.f) AND substr(p.u, q.i + 1, 1) = substr(q.f, (q.j + 2)::INT, 1) AND substr(p.u, q.i + 2, 1) = substr(q.f, (q.j + 1)::INT, 1) AND substr(p.u, q.i + 1, 1) <> substr(p.u, q.i + 2, 1))
+      OR (m.k = 'w' AND q.i + 1 < p.lu AND q.j + 1 < length(q.f) AND substr(p.u, q.i + 1, 1) = substr(q.f, (q.j + 2)::INT, 1) AND substr(p.u, q.i + 2, 1) = substr(q.f, (q.j + 1)::INT, 1) AND substr(p.u, q.i + 1, 1) <> substr(p.u, q.i + 2, 1))
       OR (m.k = 'i' AND q.j < length(q.f) AND q.e > q.s)
       OR m.k = 'd'
       OR (m.k = 'b' AND substr(p.u, q.i + 1, m.di) = m.a AND substr(q.f, (q.j + 1)::INT, m.dj) = m.b)))
-  WHERE ins <= ci AND del <= cd AND sub <= cs AND swp <= cw AND ins + del + sub + swp <= ce AND pen <= budget
+  WHERE ins <= ci AND del <= cd AND sub <= cs AND swp <= cw AND ins + del + sub + swp <= ce AND pen <= budget{tail}
 ),
 best AS (
-  SELECT t, st.pid, p.pattern, s, e, pen, ins, del, sub, swp, ins + del + sub + swp AS edits, round((p.n - pen / 10000.0) / p.n * p.w, 4) AS sim, strlen(p.pattern) AS blen, p.uid
-  FROM st JOIN pats p USING (pid) WHERE i = p.n AND (p.n - pen / 10000.0) / p.n * p.w >= {case.threshold}
-  QUALIFY row_number() OVER (PARTITION BY t, st.pid, s, e ORDER BY pen, ins + del + sub + swp, ins, del, sub, swp) = 1
+  SELECT t, p.pid, p.pattern, s, e, pen, ins, del, sub, swp, ins + del + sub + swp AS edits, round((p.n - pen / 10000.0) / p.n * p.w, 4) AS sim, strlen(p.pattern) AS blen, p.uid
+  FROM st JOIN pats p USING (cid) WHERE i = p.lu AND (p.n - pen / 10000.0) / p.n * p.w >= {case.threshold}
+  QUALIFY row_number() OVER (PARTITION BY t, p.pid, s, e ORDER BY pen, ins + del + sub + swp, ins, del, sub, swp) = 1
 )"""
 
 

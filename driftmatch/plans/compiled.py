@@ -6,26 +6,15 @@ first character, with mappings the whole cluster (clusters of several characters
 
 from __future__ import annotations
 
-import unicodedata
 from dataclasses import dataclass, field, replace
 
-from driftmatch.plans.spec import KINDS, Limits, Pattern, Penalties, Similarity
+import regex
 
-try:
-    import regex
+from driftmatch.plans.spec import KINDS, Limits, Pattern, Penalties, Similarity
 
-    def clusters(text: str) -> list[str]:
-        return regex.findall(r"\X", text)
-except ImportError:  # an approximation: marks and joiners stay with the character before them
 
-    def clusters(text: str) -> list[str]:
-        out: list[str] = []
-        for c in text:
-            if out and (unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Mc") or c in "‍️" or out[-1].endswith("‍") or (c == "\n" and out[-1] == "\r")):
-                out[-1] += c
-            else:
-                out.append(c)
-        return out
+def clusters(text: str) -> list[str]:
+    return regex.findall(r"\X", text)
 
 
 MOST_USEFUL = 24
@@ -67,11 +56,15 @@ class Compiled:
         self.candidates = [Candidate(t, k) for k, t in enumerate(texts)]
         if self.suffix_outputs:
             # A beginning of one pattern that ends with another pattern reports that one too, over the whole beginning.
-            prefixes = {t[:n] for t in texts for n in range(1, len(t) + 1)}
-            seen = {(c.u, c.index) for c in self.candidates}
+            named: dict[str, list[int]] = {}
             for k, t in enumerate(texts):
-                more = {v for v in prefixes if len(v) > len(t) and v.endswith(t)} - {v for v, i in seen if i == k}
-                self.candidates += [Candidate(v, k) for v in sorted(more)]
+                named.setdefault(t, []).append(k)
+            more: dict[int, set[str]] = {}
+            for v in {t[:n] for t in texts for n in range(2, len(t) + 1)}:
+                for at in range(1, len(v)):
+                    for k in named.get(v[at:], ()):
+                        more.setdefault(k, set()).add(v)
+            self.candidates += [Candidate(v, k) for k in sorted(more) for v in sorted(more[k])]
         both = [(a, b, s) for a, b, s in self.mappings] + [(b, a, s) for a, b, s in self.mappings if a != b]
         self.blocks = [(self.text_symbols(a), self.text_symbols(b), self.penalties.substitution * (1 - s)) for a, b, s in both]
         self.bytes_of = [p.byte_len for p in self.patterns]

@@ -37,7 +37,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def engine(case: Case, **more) -> Engine:
-    return Engine(case.patterns, **case.settings(), **more)
+    return Engine(case.patterns, **{**case.settings(), **more})
 
 
 def distinct_first(spark: SparkSession, sf_dir: str, case: Case, value: Callable[[Column], Column], name: str) -> DataFrame:
@@ -86,23 +86,23 @@ for _name, _case in FUZZY.items():
     query(_name, sql.rows_sql(_case))(search_rows(_case))
 
 MANY = replace(PARTS, patterns=("large", "large widget", "widget", "wigdet gear", "gizmo", "hot", "hot gi", "gear"), threshold=0.5551, limits=Limits(edits=1))
-# Beginnings of one pattern that end with another would be reported too; these queries take the plain meaning.
-PLAIN = {"suffix_outputs": False}
+#: Patterns that share ids, so that one match of each group is accepted.
+GROUPS = replace(MANY, patterns=tuple(Pattern(p, custom_unique_id=k) for p, k in zip(MANY.patterns, (1, 1, 1, 1, 2, 2, 1, 2))))
 for _order in ("default", "greedy", "coverage_weighted"):
 
     @query(f"rank_{_order}", sql.ranked_sql(MANY, _order))
     def _ranked(spark: SparkSession, sf_dir: str, order: str = _order) -> DataFrame:
-        e = engine(MANY, **PLAIN)
+        e = engine(MANY)
         rows = distinct_first(spark, sf_dir, MANY, lambda t: e.search(t, MANY.threshold), "m").withColumn("m", fm.rank("m", order))
         return rows.select("p_partkey", F.posexplode_outer("m").alias("place", "x")).where(F.col("x").isNotNull()).select("p_partkey", F.col("place").cast("long").alias("place"), "x.pattern", F.col("x.start").alias("m_start"), F.col("x.end").alias("m_end"), F.round(F.col("x.similarity").cast("double"), 4).alias("sim"))
 
     for _unique in (False, True):
 
-        @query(f"resolve_{'unique_' * _unique}{_order}", sql.kept_sql(MANY, _order, _unique))
+        @query(f"resolve_{'unique_' * _unique}{_order}", sql.kept_sql(GROUPS, _order, _unique))
         def _resolved(spark: SparkSession, sf_dir: str, order: str = _order, unique: bool = _unique) -> DataFrame:
-            e = engine(MANY, **PLAIN)
+            e = engine(GROUPS)
             overlap = "non_overlapping_unique" if unique else "non_overlapping"
-            return match_rows(distinct_first(spark, sf_dir, MANY, lambda t: e.search(t, MANY.threshold, order, overlap), "m"), MANY, full=False)
+            return match_rows(distinct_first(spark, sf_dir, MANY, lambda t: e.search(t, GROUPS.threshold, order, overlap), "m"), GROUPS, full=False)
 
 
 _IDS = replace(PARTS, patterns=(Pattern("large", custom_unique_id=7), Pattern("larg", custom_unique_id=7), Pattern("wigdet"), Pattern("gear", custom_unique_id=1)), threshold=0.5551)
@@ -110,7 +110,7 @@ _IDS = replace(PARTS, patterns=(Pattern("large", custom_unique_id=7), Pattern("l
 
 @query("resolve_custom_ids", sql.kept_sql(_IDS, "default", True))
 def resolve_custom_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(_IDS, **PLAIN)
+    e = engine(_IDS)
     native = lambda t: fm.resolve(fm.rank(e.search(t, _IDS.threshold)), "non_overlapping_unique", e.compiled.unique)
     return match_rows(distinct_first(spark, sf_dir, _IDS, native, "m"), _IDS, full=False)
 
@@ -220,17 +220,45 @@ def prefilter_is_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.size("x.a").cast("long").alias("n_with"), F.size("x.b").cast("long").alias("n_without"), (F.col("x.a") == F.col("x.b")).alias("same"))
 
 
-@query("beam_search")
+#: Two edits over short patterns: three states at a step lose matches that the exact search finds.
+NARROW = replace(PARTS, patterns=("wdgit", "gizom", "plaet", "rnig"), threshold=0.5551, limits=Limits(edits=2), beam=3)
+
+
+@query("beam_search", sql.rows_sql(NARROW))
 def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_rows(distinct_first(spark, sf_dir, PARTS, lambda t: engine(PARTS, beam=50).search(t, PARTS.threshold), "m"), PARTS)
+    return match_rows(distinct_first(spark, sf_dir, NARROW, lambda t: engine(NARROW).search(t, NARROW.threshold), "m"), NARROW)
 
 
-@query("auto_beam_search", sql.rows_sql(PARTS))
+@query("auto_beam_search", sql.rows_sql(NARROW))
 def auto_beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget that the first state spends: the beam from the start."""
+    e = engine(replace(NARROW, beam=None), auto_beam=(0, 3))
+    return match_rows(distinct_first(spark, sf_dir, NARROW, lambda t: e.search(t, NARROW.threshold), "m"), NARROW)
+
+
+@query("auto_beam_unspent", sql.rows_sql(PARTS))
+def auto_beam_unspent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A budget that is never spent is the exact search."""
     return match_rows(distinct_first(spark, sf_dir, PARTS, lambda t: engine(PARTS, auto_beam=(1 << 40, 8)).search(t, PARTS.threshold), "m"), PARTS)
 
 
+#: Patterns that end beginnings of others are reported over these, too.
+NESTED = replace(PARTS, patterns=("hot gear", "gear", "hot gi", "ot", "large widget", "widget", "gea"), threshold=0.7051, suffix_outputs=True)
+query("suffix_outputs", sql.rows_sql(NESTED))(search_rows(NESTED))
+
+
+@query("documents_dictionary", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(p_name, '[a-z]+')) AS pattern FROM part UNION SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) FROM benchmark),
+p AS (SELECT pattern FROM w), hit AS (SELECT item_id, pattern, (length(text) - length(replace(text, pattern, ''))) // length(pattern) AS n FROM benchmark JOIN p ON contains(text, pattern))
+SELECT item_id, count(*) AS patterns FROM hit GROUP BY item_id""")
+def documents_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of a dictionary of thousands each benchmark text holds, anywhere in it."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.expr("regexp_extract_all(p_name, '[a-z]+', 0)")).alias("pattern"))
+    words = words.union(table(spark, sf_dir, "benchmark").select(F.explode(F.expr("regexp_extract_all(text, '[A-Za-z]{5,}', 0)")))).distinct()
+    pats = words.orderBy("pattern").select(F.xxhash64("pattern").alias("pattern_index"), "pattern")
+    found = fuzzy_join(table(spark, sf_dir, "benchmark").select("item_id", "text"), pats, "text", 0.9, suffix_outputs=False)
+    return found.groupBy("item_id").agg(F.count_distinct("pattern").alias("patterns"))
+
+
 @query("patterns", "SELECT * FROM (VALUES (0, 'wigdet', 6, 6), (1, 'anvl', 4, 4), (2, 'gizmo', 5, 5)) v(pattern_index, pattern, grapheme_len, byte_len)")
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(PARTS).patterns_df(spark).select("pattern_index", "pattern", "grapheme_len", "byte_len")

@@ -1,11 +1,16 @@
 """The kernel against an independent exhaustive alignment, and the seed filter against the full search."""
 
+import random
+import time
 from functools import cache
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from driftmatch.operators import kernel
 from driftmatch.operators.engine import Engine
+from driftmatch.operators.exact import exact_matches
 from driftmatch.plans.spec import Limits, Pattern, Penalties, Similarity
 
 
@@ -78,3 +83,49 @@ def test_which_engines_are_reducible():
 def test_longest_match():
     assert Engine([Pattern("hello", 1, Limits(edits=2)), "hi"]).max_match_graphemes() == 7
     assert Engine(["hello"], limits=Limits(edits=1), mappings=[("a", "bcd")]).max_match_graphemes() == 8
+
+
+def _dictionary(n, seed=3):
+    r = random.Random(seed)
+    syllables = ["ka", "lo", "mi", "ter", "an", "ous", "re", "st", "ing", "ü"]
+    words = sorted({"".join(r.choices(syllables, k=r.randint(2, 5))) for _ in range(3 * n)})
+    r.shuffle(words)
+    return words[:n], r
+
+
+@pytest.mark.parametrize("limits, threshold", [(None, 0.9), (Limits(edits=1), 0.85), (Limits(edits=1), 0.6), (Limits(edits=2), 0.75), (Limits(substitutions=1, swaps=1), 0.7)])
+@pytest.mark.parametrize("fold", [False, True])
+def test_many_patterns_find_what_no_prefilter_finds(limits, threshold, fold):
+    words, r = _dictionary(60)
+    e = Engine(words, limits=limits, case_insensitive=fold)
+    assert e.matcher(threshold).automaton is not None
+    for _ in range(12):
+        t = " ".join(r.choice(words) if r.random() < 0.5 else "".join(r.sample(w := r.choice(words), len(w))) for _ in range(r.randint(0, 12)))
+        t = "".join(c for c in t if r.random() > 0.05)
+        t = t.upper() if fold and r.random() < 0.5 else t
+        assert e.search_local(t, threshold) == e.search_local(t, threshold, prefilter="off")
+
+
+def test_thousands_of_patterns_build_and_search():
+    words, _ = _dictionary(3000, 5)
+    began = time.perf_counter()
+    e = Engine(words, limits=Limits(edits=1))
+    assert time.perf_counter() - began < 5 and len(e.compiled.candidates) >= len(e.patterns) > 2000
+    m = e.matcher(0.85)
+    text = " ".join(words[:40])
+    assert {x.pattern_index for x in m.search(text)} >= set(range(40))
+
+
+def test_text_too_large(monkeypatch):
+    monkeypatch.setattr(kernel, "MOST_SYMBOLS", 5)
+    e = Engine(["abc"])
+    assert len(e.search_local("xabcx")) == 1
+    with pytest.raises(kernel.TextTooLarge):
+        e.search_local("xabcxx")
+
+
+def test_exact_matches_with_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "a cat", "p", 5, 0.5, 9)], "id int, text string, pattern string, len int, similarity double, start int")
+    got = exact_matches(df, Engine(["cat", "at"], suffix_outputs=False))
+    assert got.columns == [*df.columns, "pattern_index", "match_pattern", "match_start", "end", "match_similarity", "match_text"]
+    assert sorted((x.pattern, x.len, x.start, x.match_pattern, x.match_start, x.end) for x in got.collect()) == [("p", 5, 9, "at", 3, 5), ("p", 5, 9, "cat", 2, 5)]
