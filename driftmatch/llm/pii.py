@@ -4,9 +4,10 @@ Every value found is validated (Luhn, ISO 7064, ranges, calendar) and replaced b
 its own format: an alternating Feistel network over a product of two ranges, so equal values get equal pseudonyms in
 every document and different values never meet. Numbers keep their separators and check digits are recomputed.
 
-=====  ===============================================  ==========================================
+====== ===============================================  ==========================================
 kind   found                                            permuted domain
-=====  ===============================================  ==========================================
+====== ===============================================  ==========================================
+secret key, token, secret, password = 16 or more         hex digits as such; else letters and digits in their places
 mail   addresses                                        letters and digits, all but the last label
 ip     dotted IPv4                                      65536 x 65536
 card   13 to 19 digits that pass Luhn                   the payload; the check digit follows
@@ -15,11 +16,12 @@ ssn    AAA-GG-SSSS in the valid ranges                  898 x (99 x 9999)
 phone  NANP (area and exchange from 200)                800 x (800 x 10000)
 phone  other +numbers of 8 to 15 digits                 all digits but the first three
 date   1800 to 2199: y-m-d, d.m.y, d/m/y, d Month y      146097 days = 189 x 773
-=====  ===============================================  ==========================================
+====== ===============================================  ==========================================
 
 Where d/m/y reads as a date in one order only, that order holds; else day first. A value that fails its check stays as
 it is. A null text stays null and an empty one empty; all columns of the input are kept; rows are independent of each
-other, so repeated ones give repeated results. The key appears in the query plan, so the plan must be kept as the key is.
+other, so repeated ones give repeated results. Where the input has a column of the count's name, the count gets an
+underscore more. A long secret-like value that nothing names as one stays. The key appears in the query plan, so the plan must be kept as the key is.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftmatch.llm.common import fresh
+
 ROUNDS = 10
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 #: In order: at one place the first that fits is taken.
 PATTERNS = {
+    "secret": r"(?<![A-Za-z0-9])(?i:api[_-]?key|access[_-]?key|secret[_-]?key|secret|token|password|passwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/\-]{16,}+",
     "mail": r"(?<![A-Za-z0-9._+\-])[A-Za-z0-9._+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![A-Za-z0-9]|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
@@ -83,8 +88,9 @@ class Pseudonyms:
         r = self.feistel(num(F.substring(d, F.lit(1), u)), num(F.substring(d, u + 1, n)), ten(u), ten(n - u), F.concat_ws(":", tweak, n.cast("string")))
         return let(r, lambda v: F.concat(F.when(u > 0, F.lpad(v.x.cast("string"), u, "0")).otherwise(""), F.lpad(v.y.cast("string"), n - u, "0")))
 
-    def letters(self, s: Column, tweak: Column) -> Column:
-        """A permutation of the strings with the same places of letters, digits and other characters; case folds."""
+    def letters(self, s: Column, tweak: Column, hexadecimal: bool = False) -> Column:
+        """A permutation of the strings with the same places of small and capital letters, digits and other characters, or
+        of strings of hexadecimal digits in small letters."""
         n = F.length(s)
         u = F.greatest(F.floor(n / 2).cast("int"), F.lit(1))
         code = lambda c: F.ascii(c)
@@ -92,7 +98,9 @@ class Pseudonyms:
         def shift(part: Column, other: Column, i: Column) -> Column:
             def one(c: Column, k: Column) -> Column:
                 add = self.prf(tweak, i, F.concat_ws("|", k.cast("string"), other))
-                return F.when(c.rlike("[0-9]"), F.chr((code(c) - 48 + add % 10) % 10 + 48)).when(c.rlike("[a-z]"), F.chr((code(c) - 97 + add % 26) % 26 + 97)).otherwise(c)
+                if hexadecimal:
+                    return F.substring(F.lit("0123456789abcdef"), ((F.conv(c, 16, 10).cast("long") + add) % 16 + 1).cast("int"), F.lit(1))
+                return F.when(c.rlike("[0-9]"), F.chr((code(c) - 48 + add % 10) % 10 + 48)).when(c.rlike("[a-z]"), F.chr((code(c) - 97 + add % 26) % 26 + 97)).when(c.rlike("[A-Z]"), F.chr((code(c) - 65 + add % 26) % 26 + 65)).otherwise(c)
 
             return F.array_join(F.transform(F.split(part, ""), one), "")
 
@@ -170,6 +178,11 @@ class Pseudonyms:
 
         return let(self.only_digits(m), of)
 
+    def secret(self, m: Column) -> Column:
+        head, value = F.regexp_extract(m, r"^(.*[=:]\s*[\"']?)", 1), F.regexp_extract(m, r"([A-Za-z0-9_+/\-]+)$", 1)
+        tweak = F.concat_ws(":", F.lit("secret"), F.length(value).cast("string"))
+        return F.concat(head, let(value, lambda v: F.when(v.rlike("^[0-9a-f]+$"), self.letters(v, tweak, True)).otherwise(self.letters(v, tweak))))
+
     def mail(self, m: Column) -> Column:
         low = F.lower(m)
         return F.concat(self.letters(F.regexp_replace(low, r"\.[a-z]+$", ""), F.lit("mail")), F.regexp_extract(low, r"\.[a-z]+$", 0))
@@ -216,9 +229,10 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", count_col: str
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     work = F.when(text.rlike("[0-9@]"), found)
     pairs = F.transform(work, lambda m: F.struct(m.alias("old"), p.replace(m).alias("new")))
-    done = df.withColumn("__pii", pairs)
-    new = F.when(F.size(F.col("__pii")) > 0, F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("__pii"), lambda gap, x: F.concat(gap, F.coalesce(x["new"], F.lit("")))), "")).otherwise(text)
-    out = done.withColumn("__new", new)
+    found, changed = fresh(df, "__pii"), fresh(df, "__new")
+    done = df.withColumn(found, pairs)
+    new = F.when(F.size(F.col(found)) > 0, F.array_join(F.zip_with(F.split(text, ANY, -1), F.col(found), lambda gap, x: F.concat(gap, F.coalesce(x["new"], F.lit("")))), "")).otherwise(text)
+    out = done.withColumn(changed, new)
     if count_col:
-        out = out.withColumn(count_col, F.when(F.col("__pii").isNull(), 0).otherwise(F.size(F.filter("__pii", lambda x: x["old"] != x["new"]))))
-    return out.withColumn(text_col, F.col("__new")).drop("__pii", "__new")
+        out = out.withColumn(fresh(df, count_col), F.when(F.col(found).isNull(), 0).otherwise(F.size(F.filter(found, lambda x: x["old"] != x["new"]))))
+    return out.withColumn(text_col, F.col(changed)).drop(found, changed)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftmatch.llm.common import buffers, drop_table, written
+from driftmatch.llm.common import buffers, drop_table, fresh, written
 
 SEED, CHUNK = 42, 1 << 17
 
@@ -268,5 +268,6 @@ def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
 
 def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that are copies of one with a smaller id."""
-    extra = copies(docs, shingle, similarity, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy"))
-    return docs.join(extra, F.col(id_col) == F.col("__copy"), "left_anti")
+    name = fresh(docs, "__copy")
+    extra = copies(docs, shingle, similarity, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return docs.join(extra, F.col(id_col) == F.col(name), "left_anti")

@@ -3,8 +3,11 @@
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector for all thresholds, theta ascending. Weights are not negative
 and only features with evidence for toxicity have one, so no amount of harmless text hides a toxic passage. x has 1 + log(count)
 of the words and word beginnings of 3 to 8 characters in a text. The weights are fitted on a bounded sample of labelled rows
-(``max_rows`` toxic ones and twice as many others, least hashes of doc_id first); nothing else is sampled, and every
-document is scored over its whole text.
+(``max_rows`` toxic ones and twice as many others, least hashes of doc_id first), on the MAX_FEATURES features of 2**BITS
+with most evidence at most; nothing else is sampled, and every document is scored over its whole text.
+
+Where labels are marks of 0 and 1, ``levels`` makes grades of the marked ones by how much evidence for the mark they
+hold: such a grade is a degree of likeness to marked texts, not one that a reader gave.
 
 A null or empty text has no features and the grade that the thresholds alone give. Repeated ids each get their row;
 labels are joined by doc_id, and of repeated labels the highest grade counts; null grades and ids are left out of the
@@ -89,7 +92,7 @@ def _evidence(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """The log-likelihood ratio (G squared) of each feature's presence against the grade being above 0."""
     g = np.zeros(len(pos))
     for seen, expected in ((pos, (pos + neg) * n1), (neg, (pos + neg) * n0), (n1 - pos, (n1 + n0 - pos - neg) * n1), (n0 - neg, (n1 + n0 - pos - neg) * n0)):
-        expected = expected / (n1 + n0)
+        expected = expected / max(n1 + n0, 1)
         g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-9)), 0)
     return 2 * g
 

@@ -116,3 +116,20 @@ def test_no_python_in_the_plan(spark):
     plan = run(spark, ["x"])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert re.compile(ANY)
+
+
+def test_secrets(spark):
+    hexes = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'x token = "{hexes}" y', f"API_KEY: {hexes}", f"password='{hexes[:-1]}0'", "secret=AbCdEfGh12345678-xyz", "token = short", f"tokens {hexes}", hexes]
+    got = out(spark, *texts)
+    assert got[4:] == texts[4:]
+    a, b, c = (re.search("[0-9a-f]{40}", x)[0] for x in got[:3])
+    assert a == b != hexes and c not in (a, hexes) and got[0] == texts[0].replace(hexes, a) and got[1].startswith("API_KEY: ")
+    assert re.fullmatch("secret=[A-Z][a-z][A-Z][a-z][A-Z][a-z][A-Z][a-z][0-9]{8}-[a-z]{3}", got[3]) and got[3] != texts[3]
+
+
+def test_columns_of_the_same_names_stay(spark):
+    df = spark.createDataFrame([(1, "write to joe@example.com", "keep", "p", "n")], "doc_id int, text string, n_replaced string, __pii string, __new string")
+    got = pseudonymise(df, KEY)
+    row = got.first()
+    assert got.columns == [*df.columns, "n_replaced_"] and (row.n_replaced, row.n_replaced_, row["__pii"], row["__new"]) == ("keep", 1, "p", "n")
