@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -88,6 +89,30 @@ def by_shard(rows: DataFrame, shards: int, split):
     return rows.repartition(min(shards, MOST_PARTITIONS), "shard").groupBy("shard")
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def tidy(run):
+    """A function of batches whose task hands back the memory that it no longer uses: workers live on from stage to stage."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    if _trim is not None:
+        _trim(0)
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and where each text begins and ends; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmatch.llm.common import U, buffers, fresh, mix, pieces, tokens, written
+from driftmatch.llm.common import U, buffers, fresh, mix, pieces, tidy, tokens, written
 
 FAMILY, FAMILY_FOR = ("1101111", "110010001011", "110101011", "1110111"), (13, 0.8)
 MOST_BITS, BITS_A_SEED, PROBES = 1 << 29, 32, 6
@@ -212,7 +212,7 @@ def _candidates(texts: DataFrame, use: Filter) -> DataFrame:
                 rows = pa.array(some + s)
                 yield pa.record_batch([b.column(0).take(rows), b.column(1).take(rows), words, _binary(own.astype(np.int32), edge), _binary(key, edge)], ["doc_id", "digest", "h", "pos", "key"])
 
-    return texts.mapInArrow(run, "doc_id long, digest string, h binary, pos binary, key binary")
+    return texts.mapInArrow(tidy(run), "doc_id long, digest string, h binary, pos binary, key binary")
 
 
 def _doc_seeds(texts: DataFrame) -> DataFrame:

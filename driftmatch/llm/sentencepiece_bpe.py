@@ -28,9 +28,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmatch.llm.common import tidy
+
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE = 300_000
+CACHE = 120_000
 #: Longer chunks are not kept.
 LONG = 64
 
@@ -304,7 +306,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             n, i, d = zip(*got) if got else ((), (), ())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -327,7 +329,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[2:])
-    return chosen.mapInArrow(run, "doc_id long, ids array<int>" + kept)
+    return chosen.mapInArrow(tidy(run), "doc_id long, ids array<int>" + kept)
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftmatch.llm.common import buffers, drop_table, fresh, written
+from driftmatch.llm.common import buffers, drop_table, fresh, tidy, written
 
 SEED, CHUNK = 42, 1 << 17
 
@@ -168,7 +168,7 @@ def _frequent(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.record_batch([pa.array(np.concatenate(part).view(np.int64))], ["h"])
 
     some = base.where("pmod(xxhash64(doc_id), 8) = 0").select("text").limit(FREQUENT_OF)
-    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    found = some.mapInArrow(tidy(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
     o = np.argsort(h)
     return h[o], n[o]
@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
                     keep.append(i)
             yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidy(verify), "a long, b long")
 
 
 def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,7 +225,7 @@ def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
                 odd.append(_parities(h))
             yield pa.record_batch([b.column(0), pa.array(same, pa.string()), pa.array(whole, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "bands", "size", "prefix", "odd"])
 
-    sketches = written(spark, base.mapInArrow(sketch, "doc_id long, same string, fp long, bands array<long>, size int, prefix array<long>, odd array<long>"), "sketches")
+    sketches = written(spark, base.mapInArrow(tidy(sketch), "doc_id long, same string, fp long, bands array<long>, size int, prefix array<long>, odd array<long>"), "sketches")
     firsts = sketches.groupBy("same").agg(F.min("doc_id").alias("first")).select(F.col("first").alias("doc_id"), "first")
     nodes = written(spark, sketches.join(firsts, "doc_id").select("same", "first", "fp", "bands", "size", "prefix", "odd"), "nodes")
     texts = base.select("doc_id", "text")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmatch.llm.common import U, buffers, pieces, tokens
+from driftmatch.llm.common import U, buffers, pieces, tidy, tokens
 
 BITS, PREFIXES, MAX_ROWS, MAX_FEATURES, EVIDENCE = 20, (3, 4, 5, 6, 7, 8), 4096, 1 << 14, 20.0
 
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, levels: int = 1, ma
         yield pa.record_batch([pa.array(np.append(f, -1)), pa.array(np.append(sums[1, f], n[1])), pa.array(np.append(sums[0, f], n[0]))], ["f", "pos", "neg"])
 
     # One row for each of the 2**BITS features at most.
-    got = texts.mapInArrow(counted, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    got = texts.mapInArrow(tidy(counted), "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
     f, p, q = (np.asarray(got.column(c).combine_chunks()) for c in ("f", "pos", "neg"))
     pos, neg = np.zeros(size), np.zeros(size)
     pos[f[f >= 0]], neg[f[f >= 0]] = p[f >= 0], q[f >= 0]
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, levels: int = 1, ma
                 cells = [pa.array([x[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for x in (key & (size - 1), count)]
                 yield pa.record_batch([b.column("id").slice(s, e - s), b.column("grade").slice(s, e - s), *cells], ["id", "grade", "f", "n"])
 
-    got = texts.mapInArrow(held, "id long, grade int, f binary, n binary").toArrow().sort_by([("id", "ascending"), ("f", "ascending")])  # at most 3 max_rows rows of chosen features
+    got = texts.mapInArrow(tidy(held), "id long, grade int, f binary, n binary").toArrow().sort_by([("id", "ascending"), ("f", "ascending")])  # at most 3 max_rows rows of chosen features
     cells = got.column("f").to_pylist()
     row = np.repeat(np.arange(len(cells)), [len(x) // 4 for x in cells])
     col, count = (np.frombuffer(b"".join(x), np.int32) for x in (cells, got.column("n").to_pylist()))
@@ -220,4 +220,4 @@ def without_toxic(docs: DataFrame, model: Ordinal, text_col: str = "text", rejec
             s = np.concatenate([m.scores(data, offs) for _, _, data, offs in pieces(*buffers(b.column(text_col)))] or [np.zeros(0)])
             yield b.filter(pa.array(m.above(s)[:, 0] < reject_at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
