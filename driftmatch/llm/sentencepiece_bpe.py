@@ -32,7 +32,8 @@ from driftmatch.llm.common import tidy
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE = 120_000
+#: Chunks that a worker keeps: fewer where other stages share its memory.
+CACHE, CACHE_ALONE = 120_000, 300_000
 #: Longer chunks are not kept.
 LONG = 64
 
@@ -40,7 +41,8 @@ LONG = 64
 class Codec:
     """One model's vocabulary with an encoder and a decoder; ``path`` is a SentencePiece model file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
+        self.most = most
         sp = sentencepiece.SentencePieceProcessor(model_file=path)  # reads the file; it encodes nothing here
         self.scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
@@ -80,8 +82,8 @@ class Codec:
             if p in self.halves and not self.tied.isdisjoint(self.halves[p]):
                 self.tied.add(p)
         self.fits: dict[tuple[str, str], bool] = {}
-        self.cache = Chunks(self.chunk)
-        self.id_cache = Chunks(self.chunk_ids, CACHE // 2)
+        self.cache = Chunks(self.chunk, most)
+        self.id_cache = Chunks(self.chunk_ids, most // 2)
 
     def merged(self, s: str, halves: dict | None = None) -> list[str]:
         """The merges themselves: the best-scored adjacent pair first, the leftmost among equals; ``halves`` gets what the
@@ -114,7 +116,7 @@ class Codec:
     def fit(self, a: str, b: str) -> bool:
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > CACHE:
+            if len(self.fits) > self.most:
                 self.fits.clear()
             got = self.fits[a, b] = self.apart(a, b)
         return got
@@ -286,21 +288,21 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-_open: dict[str, Codec] = {}
+_open: dict[tuple[str, int], Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, most: int = CACHE) -> Codec:
     """A worker's codec of a model file, built once."""
-    if path not in _open:
-        _open[path] = Codec(path)
-    return _open[path]
+    if (path, most) not in _open:
+        _open[path, most] = Codec(path, most)
+    return _open[path, most]
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with the end id and no other special ids."""
 
     def run(batches):
-        c = codec(path)
+        c = codec(path, CACHE_ALONE)
         for b in batches:
             got = [c.digest(t or "") for t in b.column(1).to_pylist()]
             n, i, d = zip(*got) if got else ((), (), ())
