@@ -132,7 +132,8 @@ def _sampled(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits.sum(1) > x.shape[1], axis=1, bitorder="little").view("<i8")[:, 0]
 
 
-FREQUENT_OF, FREQUENT, PARITIES = 4096, 1 << 17, 2048
+#: One document of so many is counted for the order of shingles; the most shingles that it holds.
+FREQUENT_OF, FREQUENT = 16, 1 << 19
 
 
 def _need(x: float) -> int:
@@ -150,14 +151,10 @@ def _prefix(h: np.ndarray, seen: tuple[np.ndarray, np.ndarray], similarity: floa
     return h[: len(h) - _need(similarity * len(h)) + 1].copy() if len(h) else h
 
 
-def _parities(h: np.ndarray) -> np.ndarray:
-    """Whether an odd number of shingles falls into each of PARITIES cells: two texts have as many shingles that only one of them holds as they have cells that differ, or more."""
-    odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
-
-
 def _frequent(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the shingles found most often in some texts; bounded. It only sets the order of ``_prefix``."""
+    """(hashes, counts) of the shingles found most often in a fixed share of the texts, so that those which are left out
+    stand in about as many texts at every size; bounded. It only sets the order of ``_prefix``."""
+    spark = base.sparkSession
 
     def run(batches):
         for b in batches:
@@ -165,18 +162,44 @@ def _frequent(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             raw = memoryview(data)
             for at in range(0, len(b), 256):
                 part = [_shingles(bytes(raw[s:e]), shingle) for s, e in zip(offs[at:-1][:256].tolist(), offs[at + 1 :][:256].tolist())]
-                yield pa.record_batch([pa.array(np.concatenate(part).view(np.int64))], ["h"])
-
-    some = base.where("pmod(xxhash64(doc_id), 8) = 0").select("text").limit(FREQUENT_OF)
-    found = some.mapInArrow(tidy(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+                h, n = np.unique(np.concatenate(part), return_counts=True)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+
+    some = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(FREQUENT_OF)) == 0).select("text")
+    counted = some.mapInArrow(tidy(run), "h long, n int").groupBy("h").agg(F.sum("n").cast("int").alias("n")).where("n > 2")
+    counted, rows, least = written(spark, counted, "frequent"), 0, 3
+    for n, more in sorted(((r.n, r["count"]) for r in counted.groupBy("n").count().collect()), reverse=True):
+        rows += more
+        if rows > FREQUENT:
+            least = n + 1
+            break
+    found = counted.where(F.col("n") >= least).toArrow()
+    drop_table(spark, counted)
+    h, n = np.asarray(found.column("h").combine_chunks()).view(np.uint64), np.asarray(found.column("n").combine_chunks())
     o = np.argsort(h)
     return h[o], n[o]
 
 
+#: Cells of 64 bits of the filter of ids.
+CELLS = 1 << 18
+
+
+def _marked(rows: DataFrame, id_col: str, ids: DataFrame, mark: str) -> DataFrame:
+    """``rows`` with a boolean ``mark``: false where the id isn't one of ``ids`` (id), true where it may be. A bitmap of CELLS
+    cells at most is broadcast, no row is shuffled."""
+    spot = lambda c: F.xxhash64(F.col(c).cast("long"))
+    cell, bits = fresh(rows, "__cell"), fresh(rows, "__bits")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), spot(c).bitwiseAND(F.lit(63)).cast("int"))
+    place = lambda c: F.shiftrightunsigned(spot(c), 6).bitwiseAND(F.lit(CELLS - 1))
+    cells = ids.groupBy(place("id").alias(cell)).agg(F.bit_or(bit("id")).alias(bits))
+    found = rows.join(F.broadcast(cells), place(id_col) == F.col(cell), "left")
+    return found.withColumn(mark, F.coalesce(F.col(bits).bitwiseAND(bit(id_col)), F.lit(0)) != 0).drop(cell, bits)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) whose whole shingle sets are alike."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    ta, tb = (_marked(texts, "doc_id", pairs.select(F.col(k).alias("id")), "in").where(F.col("in")).select(F.col("doc_id").alias(k), F.col("text").alias("t" + k)) for k in "ab")
+    both = pairs.join(tb, "b").join(ta, "a")
 
     def verify(batches):
         for b in batches:
@@ -201,8 +224,8 @@ def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
     Components are those of all links of that likeness; none is lost. Texts of equal words are one node. The first round
     takes the links that are cheap to find: texts whose SimHashes are within two bits, or whose SimHashes of a few
     sampled shingles are equal (each member of such a group is compared with the one that has most neighbours in its
-    groups). The second round is exact: two alike texts share one of the first shingles of each in a common order, rarest
-    first (prefix filter); all pairs that share one, that sizes, places and parities allow, and that the first round has
+    groups). The second round is exact: two alike texts share some of the first shingles of each in a common order, rarest
+    first (prefix filter); all pairs that share as many as sizes and places ask for, and that the first round has
     not put in one component are compared. Every candidate is verified on its whole shingle sets. Ids are taken to be unique;
     texts without words are copies of each other.
     """
@@ -213,7 +236,7 @@ def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
     def sketch(batches):
         for b in batches:
             data, offs = buffers(b.column(1))
-            raw, same, whole, bands, sizes, first, odd = memoryview(data), [], [], [], [], [], []
+            raw, same, whole, bands, sizes, first = memoryview(data), [], [], [], [], []
             for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
                 text = bytes(raw[s:e])
                 same.append(xxhash.xxh128_hexdigest(b" ".join(text.lower().split())))
@@ -222,12 +245,13 @@ def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
                 bands.append(_sampled(h).tolist() if len(h) else [])
                 sizes.append(len(h))
                 first.append(_prefix(h, shared.value, similarity).view(np.int64))
-                odd.append(_parities(h))
-            yield pa.record_batch([b.column(0), pa.array(same, pa.string()), pa.array(whole, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "bands", "size", "prefix", "odd"])
+            yield pa.record_batch([b.column(0), pa.array(same, pa.string()), pa.array(whole, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "bands", "size", "prefix"])
 
-    sketches = written(spark, base.mapInArrow(tidy(sketch), "doc_id long, same string, fp long, bands array<long>, size int, prefix array<long>, odd array<long>"), "sketches")
+    sketches = written(spark, base.mapInArrow(tidy(sketch), "doc_id long, same string, fp long, bands array<long>, size int, prefix array<long>"), "sketches")
     firsts = sketches.groupBy("same").agg(F.min("doc_id").alias("first")).select(F.col("first").alias("doc_id"), "first")
-    nodes = written(spark, sketches.join(firsts, "doc_id").select("same", "first", "fp", "bands", "size", "prefix", "odd"), "nodes")
+    nodes = written(spark, sketches.join(firsts, "doc_id").select("same", "first", "fp", "bands", "size", "prefix"), "nodes")
+    whole, sketches = sketches, written(spark, sketches.select("doc_id", "same"), "words")
+    drop_table(spark, whole)
     texts = base.select("doc_id", "text")
 
     keyed = nodes.select("first", F.posexplode("bands").alias("band", "key")).withColumn("n", F.count("*").over(Window.partitionBy("band", "key"))).where("n > 1")
@@ -244,23 +268,28 @@ def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
     found = written(spark, _verified(pairs, texts, shingle, similarity), "found")
     of = components(spark, found)
 
-    # What alike texts x and y have in common, y having as many shingles as x or more, is 2t/(1+t) of x or more.
+    # What alike texts x and y have in common is t/(1+t) of both their numbers of shingles or more.
     least = similarity / (1 + similarity)
     common = Window.partitionBy("key")
     held = nodes.select("first", "size", F.posexplode("prefix").alias("at", "key")).withColumn("n", F.count("*").over(common)).where("n > 1").drop("n")
     held = held.join(of, held["first"] == of.node, "left").select("first", "size", "at", "key", F.coalesce("root", "first").alias("root"))
     held = held.withColumn("lo", F.min("root").over(common)).withColumn("hi", F.max("root").over(common)).where("lo <> hi").drop("lo", "hi")
-    held = written(spark, held, "prefixes")
-    x, y = (held.select("key", *(F.col(c).alias(c + k) for c in ("first", "size", "at", "root"))) for k in "xy")
+    # Shingles that stand in the same texts are one row of each: ``n`` of them, from place ``at`` to place ``last``.
+    for c, e in (("same", F.xxhash64("first")), ("texts", F.xxhash64("first", "size"))):
+        held = held.withColumn(c, F.bit_xor(e).over(common))
+    held = written(spark, held.groupBy("same", "texts", "first", "size", "root").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.max("at").alias("last")), "prefixes")
+    x, y = (held.select("same", "texts", *(F.col(c).alias(c + k) for c in ("first", "size", "n", "at", "last", "root"))) for k in "xy")
     smaller = F.struct("sizex", "firstx") < F.struct("sizey", "firsty")
-    sizes = (F.col("sizex") >= similarity * F.col("sizey") - 1e-6) & (F.col("atx") <= F.col("sizex") * (1 - 2 * least) + 1e-6)
+    needed = least * (F.col("sizex") + F.col("sizey")) - 1e-6
     most = F.least("atx", "aty") + F.least(F.col("sizex") - F.col("atx"), F.col("sizey") - F.col("aty"))
-    rest = x.join(y, "key").where((F.col("rootx") != F.col("rooty")) & smaller & sizes & (most >= least * (F.col("sizex") + F.col("sizey")) - 1e-6))
-    rest = rest.select(F.least("firstx", "firsty").alias("a"), F.greatest("firstx", "firsty").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    for k in "ab":
-        rest = rest.join(nodes.select(F.col("first").alias(k), F.col("size").alias("size" + k), F.col("odd").alias("odd" + k)), k)
-    differ = F.aggregate(F.zip_with("odda", "oddb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
-    rest = written(spark, rest.where(differ <= (1 - 2 * least) * (F.col("sizea") + F.col("sizeb")) + 1e-6).select("a", "b"), "rest")
+    rest = x.join(y, ["same", "texts"]).where((F.col("rootx") != F.col("rooty")) & smaller & (F.col("sizex") >= similarity * F.col("sizey") - 1e-6) & (most >= needed))
+    # Both prefixes are whole, so what else is common lies behind the last common shingle in both, and behind the prefix of one.
+    rest = rest.groupBy("firstx", "firsty", "sizex", "sizey").agg(F.sum("nx").alias("n"), F.max("lastx").alias("lastx"), F.max("lasty").alias("lasty"))
+    behind = lambda k: F.ceil(similarity * F.col("size" + k) - 1e-9) - 1
+    after = lambda k: F.col("size" + k) - F.col("last" + k) - 1
+    rest = rest.where(F.col("n") + F.greatest(F.least(behind("x"), after("y")), F.least(after("x"), behind("y"))) >= needed)
+    rest = rest.select(F.least("firstx", "firsty").alias("a"), F.greatest("firstx", "firsty").alias("b")).join(pairs, ["a", "b"], "left_anti")
+    rest = written(spark, rest, "rest")
     of = components(spark, found.union(_verified(rest, texts, shingle, similarity)))
     ids = nodes.join(of, nodes["first"] == of.node, "left").select("same", F.coalesce("root", "first").alias("component_id"))
     return sketches.join(ids, "same").select("doc_id", "component_id")
@@ -268,6 +297,9 @@ def copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
 
 def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that are copies of one with a smaller id."""
-    name = fresh(docs, "__copy")
-    extra = copies(docs, shingle, similarity, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
-    return docs.join(extra, F.col(id_col) == F.col(name), "left_anti")
+    spark = docs.sparkSession
+    name, mark = fresh(docs, "__copy"), fresh(docs, "__mark")
+    extra = written(spark, copies(docs, shingle, similarity, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "copies")
+    marked = _marked(docs, id_col, extra.select(F.col(name).alias("id")), mark)
+    kept, others = marked.where(~F.col(mark)).drop(mark), marked.where(F.col(mark)).drop(mark)
+    return kept.union(others.join(extra, F.col(id_col).cast("long") == F.col(name), "left_anti"))

@@ -154,6 +154,47 @@ def test_copies_of_few_shingles(spark):
     assert [got[i] for i in range(400)] == want
 
 
+def test_copies_compares_few_long_texts(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**9)}"
+    texts = [[word() for _ in range(6000)] for _ in range(24)]
+    for a, b in zip(texts, texts[1:]):  # each shares a passage with the next one
+        b[:60] = a[-60:]
+    texts += [[*t[:300], *(word() for _ in range(300)), *t[600:]] for t in texts[:3]]
+    compared, old = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *x: compared.append(pairs.count()) or old(pairs, *x))
+    got = {x.doc_id: x.component_id for x in simhash.copies(docs(spark, [" ".join(t) for t in texts])).collect()}
+    assert [got[i] for i in range(27)] == [*range(24), 0, 1, 2]
+    assert sum(compared) <= 10
+
+
+def test_copies_of_texts_with_shared_passages(spark):
+    r = random.Random(10)
+    word = lambda: f"w{r.randrange(10**6)}"
+    lines = [[word() for _ in range(r.randint(5, 40))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        t = [w for x in r.choices(lines, k=r.randint(0, 5)) for w in x] + [word() for _ in range(r.randint(0, 60))]
+        texts.append(t)
+        for _ in range(r.randint(0, 3)):
+            t = list(t)
+            for _ in range(r.randint(0, 3)):
+                t.insert(r.randrange(len(t) + 1), word())
+            texts.append(t)
+    texts = [" ".join(t) for t in texts]
+    want = brute_copies(texts)
+    assert 30 < len(set(want)) < len(texts) - 20
+    got = {x.doc_id: x.component_id for x in simhash.copies(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_without_copies_keeps_other_rows(spark):
+    df = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (7, "a b", 3), (8, "A  b", 4), (9, None, 5)], "doc_id int, text string, __mark int")
+    out = simhash.without_copies(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert sorted(x[2] for x in out.collect()) == [1, 2, 3, 5]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array(xs):
