@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -95,10 +96,29 @@ except (AttributeError, OSError):  # another C library
     _trim = None
 
 
-def tidy(run):
-    """A function of batches whose task hands back the memory that it no longer uses: workers live on from stage to stage."""
+_opened: dict = {}
+
+
+def opened(key, make):
+    """A worker's value of ``key``, made once; a ``tidy`` task that doesn't ``keep`` it lets go of it."""
+    if key not in _opened:
+        _opened[key] = make()
+    return _opened[key]
+
+
+def forget() -> None:
+    if _opened:
+        _opened.clear()
+        gc.collect()  # codecs and their caches refer to each other
+
+
+def tidy(run, keep: bool = False):
+    """A function of batches whose task hands back the memory that it no longer uses: workers live on from stage to stage.
+    What other stages have ``opened`` goes before it begins, unless it is to ``keep`` that."""
 
     def tidied(batches):
+        if not keep:
+            forget()
         try:
             yield from run(batches)
         finally:

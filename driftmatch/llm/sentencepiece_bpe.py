@@ -28,12 +28,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmatch.llm.common import tidy
+from driftmatch.llm.common import opened, tidy
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Chunks that a worker keeps: fewer where other stages share its memory.
 CACHE, CACHE_ALONE = 120_000, 300_000
+#: Texts whose ids are in a worker's memory at once.
+ROWS = 1024
 #: Longer chunks are not kept.
 LONG = 64
 
@@ -288,14 +290,9 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-_open: dict[tuple[str, int], Codec] = {}
-
-
 def codec(path: str, most: int = CACHE) -> Codec:
     """A worker's codec of a model file, built once."""
-    if (path, most) not in _open:
-        _open[path, most] = Codec(path, most)
-    return _open[path, most]
+    return opened((path, most), lambda: Codec(path, most))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +305,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             n, i, d = zip(*got) if got else ((), (), ())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, keep=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -316,7 +313,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             cache = c.id_cache
             rows = []
             for t in b.column(1).to_pylist():
@@ -331,7 +328,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[2:])
-    return chosen.mapInArrow(tidy(run), "doc_id long, ids array<int>" + kept)
+    return chosen.mapInArrow(tidy(run, keep=True), "doc_id long, ids array<int>" + kept)
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:

@@ -277,6 +277,16 @@ def test_pipeline(spark):
     assert frame.count() == 0 and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
 
 
+def test_other_tasks_let_go_of_the_codec():
+    from driftmatch.llm import common
+
+    first = sb.codec(PATH)
+    list(common.tidy(lambda batches: batches, keep=True)([1]))
+    assert sb.codec(PATH) is first
+    list(common.tidy(lambda batches: batches)([1]))
+    assert sb.codec(PATH) is not first
+
+
 def test_licence_notices_and_whole_texts(spark):
     from pathlib import Path
 
