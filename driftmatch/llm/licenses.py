@@ -18,7 +18,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANCHORS = ("licen", "permission", "redistribution", "public domain", "warrant")
+ANCHORS = ("licen", "permission", "redistribution", "public domain", "warrant", "released", "distributed")
+#: The same in a text as it stands: "public domain" may be spaced otherwise; its last word stands for it.
+_ANCHORED = "licen|permission|redistribution|domain|warrant|released|distributed"
 #: Whole words in canonical form, and what they become.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "sublicence": "sublicense", "non infringement": "noninfringement", "noncommercial": "non commercial",
@@ -116,13 +118,12 @@ LEADS = (*_DONE, *(f"this {x} is {d}" for x in ("work", "project", "software", "
 
 
 def notices():
-    """(notice in canonical form, licence). A notice without a word that anchors it in a text can't be looked up and is left out."""
+    """(notice in canonical form, licence)."""
     for key, names in NAMES.items():
         for name in dict.fromkeys(canonical(x) for x in names):
             for lead in LEADS:
                 for under in ("under", "under the terms of"):
-                    if any(a in (x := f"{lead} {under} {name}") for a in ANCHORS):
-                        yield x, key
+                    yield f"{lead} {under} {name}", key
 
 
 def digests() -> dict[str, str]:
@@ -133,12 +134,11 @@ def digests() -> dict[str, str]:
 
 
 assert all(any(a in canonical(t) for a in ANCHORS) for ts in KNOWN.values() for t in ts)
+assert all(any(a in x for a in ANCHORS) for x in LEADS)
 
 
 def _anchored(text: Column) -> Column:
-    low = F.translate(text, _UPPER, _LOWER)
-    # "public domain" may be spaced otherwise; its last word stands for it.
-    return low.rlike("licen|permission|redistribution|domain|warrant")
+    return F.translate(text, _UPPER, _LOWER).rlike(_ANCHORED)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +169,7 @@ def scan_sql() -> str:
             s = f"replace({s}, ' {old} ', ' {new} ')"
         return f"trim({s})"
 
-    anchor = lambda x: f"regexp_matches(translate({x}, '{_UPPER}', '{_LOWER}'), 'licen|permission|redistribution|domain|warrant')"
+    anchor = lambda x: f"regexp_matches(translate({x}, '{_UPPER}', '{_LOWER}'), '{_ANCHORED}')"
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in sorted(digests().items()))
     return f"""
 WITH known(digest, license) AS (VALUES {values}),

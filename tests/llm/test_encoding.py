@@ -306,3 +306,15 @@ def test_licence_notices_and_whole_texts(spark):
     if there:
         df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(there)], "doc_id int, text string")
         assert {x.doc_id: x.license for x in licenses.scan(df).collect()} == {i: k for i, (k, _) in enumerate(there)}
+
+
+def test_every_notice_is_found(spark):
+    known = licenses.digests()
+    lines = [f"{lead} under {name}." for lead in ("Released", "Distributed", "This software is released", "This work is distributed") for names in licenses.NAMES.values() for name in (names[0], names[-1])]
+    lines += ["Released under CC BY 4.0.", "Distributed under the GNU GPL v2", "released\tunder MIT", "Released under terms of our own.", "The film was distributed in May."]
+    want = [known.get(hashlib.md5(licenses.canonical(x).encode()).hexdigest()) for x in lines]
+    assert want[-5:] == ["CC-BY-4.0", "GPL-2.0", "MIT", None, None] and None not in want[:-2]
+    df = spark.createDataFrame([(2 * i + whole, x if whole else f"words before\n{x}") for i, x in enumerate(lines) for whole in (0, 1)], "doc_id int, text string")
+    got = {x.doc_id: (x.license, x.line_licenses) for x in licenses.scan(df).collect()}
+    assert [got[2 * i][1] for i in range(len(lines))] == [x or "" for x in want]
+    assert [got[2 * i + 1][0] for i in range(len(lines))] == want
